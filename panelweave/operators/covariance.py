@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import sparse_precision, symmetric
+from .panel import spread
 
 
 def realized_cov(returns: DataFrame, ridge: float = 0.0, bar_block: int = 512, tiles: int = 1) -> DataFrame:
@@ -76,12 +77,12 @@ def correlations(returns: DataFrame) -> DataFrame:
 
 
 def normalise(cov: DataFrame) -> DataFrame:
-    """Correlation cells (i < j) of covariance cells."""
+    """Correlation cells (i < j) of covariance cells; null where an asset never moved."""
     diag = cov.filter(F.col("i") == F.col("j"))
     di = diag.select("day", "i", F.col("v").alias("v_i"))
     dj = diag.select("day", "j", F.col("v").alias("v_j"))
     return (cov.filter(F.col("i") < F.col("j")).join(di, ["day", "i"]).join(dj, ["day", "j"])
-            .select("day", "i", "j", (F.col("v") / F.sqrt(F.col("v_i") * F.col("v_j"))).alias("v")))
+            .select("day", "i", "j", F.try_divide("v", F.sqrt(F.col("v_i") * F.col("v_j"))).alias("v")))
 
 
 SOLVED = ("day date, lambda double, status string, ridge_used double, iterations int, gap double, "
@@ -128,7 +129,7 @@ def glasso(cov: DataFrame, lambdas: Sequence[float], ridges: Sequence[float] = (
             out.append((pdf["day"].iloc[0], lam, *row))
         return pd.DataFrame(out, columns=[f.split()[0] for f in SOLVED.split(", ")])
 
-    return cov.select("day", "i", "j", "v").groupBy("day").applyInPandas(solve, SOLVED)
+    return spread(cov.select("day", "i", "j", "v"), "day").groupBy("day").applyInPandas(solve, SOLVED)
 
 
 def precision_cells(solved: DataFrame) -> DataFrame:

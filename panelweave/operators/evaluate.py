@@ -20,9 +20,9 @@ def _errors(pred: DataFrame, act: DataFrame) -> DataFrame:
         "err", F.col("w_hat") - F.col("w"))
 
 
-def accuracy(pred: DataFrame, act: DataFrame) -> DataFrame:
+def accuracy(pred: DataFrame, act: DataFrame, keys: tuple[str, ...] = ("model",)) -> DataFrame:
     """G1 and G2 in one pass: (model, mse, mae)."""
-    return _errors(pred, act).groupBy("model").agg(
+    return _errors(pred, act).groupBy(*keys).agg(
         F.avg(F.col("err") * F.col("err")).alias("mse"), F.avg(F.abs("err")).alias("mae"))
 
 

@@ -80,13 +80,18 @@ def positioned(features: DataFrame, exog: DataFrame, names: DataFrame) -> DataFr
             .select("t", "day", "pos", "v"))
 
 
-def assemble(long: DataFrame) -> DataFrame:
-    """One row per t with x ordered by position (and its one-step change dx)."""
+def assemble(long: DataFrame, p: int | None = None) -> DataFrame:
+    """One row per t with x ordered by position, and its one-step change dx.
+
+    With `p` given, rows that lack a position or hold a null are left out."""
     w = Window.partitionBy("pos").orderBy("t")
     cells = long.withColumn("dv", F.col("v") - F.lag("v").over(w))
     packed = cells.groupBy("t", "day").agg(
         F.array_sort(F.collect_list(F.struct("pos", "v", "dv"))).alias("c"))
-    return packed.select("t", "day", F.col("c.v").alias("x"), F.col("c.dv").alias("dx"))
+    out = packed.select("t", "day", F.col("c.v").alias("x"), F.col("c.dv").alias("dx"))
+    if p is None:
+        return out
+    return out.filter((F.size("x") == p) & ~F.exists("x", lambda v: v.isNull()))
 
 
 def align_targets(features: DataFrame, weights: DataFrame, p: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import min_variance, symmetric
+from .panel import spread
 
 
 def w_from_prec(prec: DataFrame, *keys: str) -> DataFrame:
@@ -29,7 +30,7 @@ def gmvp(cov: DataFrame) -> DataFrame:
             w = np.full(len(s), np.nan)
         return pd.DataFrame({"day": pdf["day"].iloc[0], "asset": names, "w": w})
 
-    return cov.select("day", "i", "j", "v").groupBy("day").applyInPandas(
+    return spread(cov.select("day", "i", "j", "v"), "day").groupBy("day").applyInPandas(
         solve, "day date, asset string, w double")
 
 
@@ -129,7 +130,7 @@ def decision_focused(pred: DataFrame, cov: DataFrame, before: DataFrame, eta: fl
 
     def solve(_, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if p.empty or c.empty:
-            return pd.DataFrame({"model": [], "day": [], "asset": [], "w_hat": []})
+            return pd.DataFrame(columns=["model", "day", "asset", "w_hat"], dtype=object)
         names, s = symmetric(c["i"].to_numpy(dtype=str), c["j"].to_numpy(dtype=str), c["v"].to_numpy())
         out = []
         for model, g in p.groupby("model"):
@@ -141,7 +142,7 @@ def decision_focused(pred: DataFrame, cov: DataFrame, before: DataFrame, eta: fl
             out.append(pd.DataFrame({"model": model, "day": p["day"].iloc[0], "asset": names, "w_hat": w}))
         return pd.concat(out)
 
-    solved = left.groupBy("day").cogroup(cov.select("day", "i", "j", "v").groupBy("day")).applyInPandas(
+    solved = spread(left, "day").groupBy("day").cogroup(spread(cov.select("day", "i", "j", "v"), "day").groupBy("day")).applyInPandas(
         solve, "model string, day date, asset string, w_hat double")
     return solved if lim is None else box(solved, lim, rounds)
 
@@ -151,3 +152,58 @@ def held_before(weights: DataFrame) -> DataFrame:
     w = Window.partitionBy("asset").orderBy("day")
     return weights.select("day", "asset", F.lag("w").over(w).alias("w_before")).filter(
         F.col("w_before").isNotNull())
+
+
+def decision_focused_own(pred: DataFrame, cov: DataFrame, eta: float, rho: float, lim: float,
+                         rounds: int = 10) -> DataFrame:
+    """F7 with the model's own previous decision as w_before, clipped to the box each day.
+
+    The decision is affine in the previous one, w = M w_before + b. M and b are
+    computed for all days in parallel; only the recursion over days is
+    sequential. It streams: the partition of a model is sorted by day and read
+    batch by batch, holding one K-vector per model. The first day starts from
+    the forecast itself.
+    """
+    def affine(_, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        cols = ["model", "day", "assets", "m", "b", "first"]
+        if p.empty or c.empty:
+            return pd.DataFrame(columns=cols, dtype=object)
+        names, s = symmetric(c["i"].to_numpy(dtype=str), c["j"].to_numpy(dtype=str), c["v"].to_numpy())
+        k = len(s)
+        inv = np.linalg.inv(s + (eta + rho) * np.eye(k))
+        u = inv.sum(axis=1) / inv.sum()
+        keep = np.eye(k) - np.outer(u, np.ones(k))  # takes a solution to the plane sum w = 1
+        m = eta * keep @ inv
+        out = []
+        for model, g in p.groupby("model"):
+            stat = g.set_index("asset").reindex(names)["w_hat"].to_numpy()
+            out.append((model, p["day"].iloc[0], names.tolist(), m.ravel().tolist(),
+                        (rho * keep @ inv @ stat + u).tolist(), stat.tolist()))
+        return pd.DataFrame(out, columns=cols)
+
+    def clip_rounds(w):
+        for _ in range(rounds):
+            w = np.clip(w, -lim, lim)
+            free = np.abs(w) < lim
+            if free.any():
+                w = np.where(free, w + (1 - w.sum()) / free.sum(), w)
+        return np.clip(w, -lim, lim)
+
+    def recurse(batches):
+        last: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                before = last.get(row.model, np.asarray(row.first))
+                w = clip_rounds(np.asarray(row.m).reshape(len(before), -1) @ before + row.b)
+                last[row.model] = w
+                out.append(pd.DataFrame({"model": row.model, "day": row.day, "asset": row.assets, "w_hat": w}))
+            if out:
+                yield pd.concat(out)
+
+    steps = (spread(pred.select("model", "day", "asset", "w_hat"), "day").groupBy("day")
+             .cogroup(spread(cov.select("day", "i", "j", "v"), "day").groupBy("day"))
+             .applyInPandas(affine, "model string, day date, assets array<string>, m array<double>, "
+                                    "b array<double>, first array<double>"))
+    return (steps.repartition("model").sortWithinPartitions("model", "day")
+            .mapInPandas(recurse, "model string, day date, asset string, w_hat double"))
