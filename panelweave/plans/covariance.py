@@ -280,3 +280,5 @@ SELECT "lambda", round(score, 7) AS score FROM score ORDER BY score.score, "lamb
 WITH {_TWINS} SELECT day AS month, 1::BIGINT AS n_days, CASE WHEN twin THEN 1 ELSE 0 END::BIGINT AS n_failed,
        CASE WHEN twin THEN 0.0 ELSE 1.0 END::DOUBLE AS solved_share FROM mon""",
 }
+
+SELECTED_SQL = ORACLES["c14_lambda_selection"]
