@@ -70,19 +70,16 @@ def rolling_cov(cov: DataFrame, window: int = 40, full: bool = True) -> DataFram
 
 
 def correlations(returns: DataFrame) -> DataFrame:
-    """Pearson correlation per day and pair i < j, through one covariance of centred returns."""
-    w = Window.partitionBy("day", "asset")
-    centred = returns.withColumn("ret", F.col("ret") - F.avg("ret").over(w))
-    return normalise(realized_cov(centred))
-
-
-def normalise(cov: DataFrame) -> DataFrame:
-    """Correlation cells (i < j) of covariance cells; null where an asset never moved."""
-    diag = cov.filter(F.col("i") == F.col("j"))
-    di = diag.select("day", "i", F.col("v").alias("v_i"))
-    dj = diag.select("day", "j", F.col("v").alias("v_j"))
-    return (cov.filter(F.col("i") < F.col("j")).join(di, ["day", "i"]).join(dj, ["day", "j"])
-            .select("day", "i", "j", F.try_divide("v", F.sqrt(F.col("v_i") * F.col("v_j"))).alias("v")))
+    """Pearson correlation per day and pair i < j.
+
+    Series are centred and scaled to length 1 first, so that the products of C1
+    are correlations and need no join with variances. Constant series drop out.
+    """
+    series = Window.partitionBy("day", "asset")
+    centred = returns.withColumn("c", F.col("ret") - F.avg("ret").over(series))
+    unit = centred.withColumn("ret", F.try_divide("c", F.sqrt(F.sum(F.col("c") * F.col("c")).over(series))))
+    cells = realized_cov(unit.filter(F.col("ret").isNotNull()).select("day", "bar", "asset", "ret"))
+    return cells.filter(F.col("i") < F.col("j"))
 
 
 SOLVED = ("day date, lambda double, status string, ridge_used double, iterations int, gap double, "

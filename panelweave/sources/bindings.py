@@ -23,24 +23,32 @@ def _truncate(grain: str, ts: str) -> Column:
     return F.to_date(ts) if grain == "day" else F.to_date(F.date_trunc(grain, ts))
 
 
+def _asset(columns: str) -> Column:
+    """One attribute, or several joined by commas: 'p_brand,p_type' makes 150 assets."""
+    names = columns.split(",")
+    return F.col(names[0]) if len(names) == 1 else F.concat_ws("|", *names)
+
+
 def _trades(spark: SparkSession, sf_dir: str, grain: str, asset: str) -> DataFrame:
     """Shipped lines as (day, bar, asset, value); bar is the day of the month."""
     value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     lines = table(spark, sf_dir, "lineitem")
+    name = _asset(asset)
     if asset.startswith("p_"):
         # no broadcast hint: the optimiser broadcasts `part` only while it is
         # small, and splits a hot part key of a sort-merge join at run time
-        part = table(spark, sf_dir, "part").select("p_partkey", asset)
+        part = table(spark, sf_dir, "part").select("p_partkey", name.alias("asset"))
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        name = F.col("asset")
     return lines.select(_truncate(grain, "l_shipdate").alias("day"),
                         F.dayofmonth("l_shipdate").alias("bar"),
-                        F.col(asset).alias("asset"), value.alias("value"))
+                        name.alias("asset"), value.alias("value"))
 
 
 def universe(spark: SparkSession, sf_dir: str, asset: str) -> DataFrame:
     """All assets, one row each."""
     source = {"p": "part", "l": "lineitem", "e": "events"}[asset[0]]
-    return table(spark, sf_dir, source).select(F.col(asset).alias("asset")).distinct()
+    return table(spark, sf_dir, source).select(_asset(asset).alias("asset")).distinct()
 
 
 def weights(spark: SparkSession, sf_dir: str, grain: str = "week", asset: str = "p_type") -> DataFrame:

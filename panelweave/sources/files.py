@@ -119,8 +119,10 @@ def write_params(params: DataFrame, path: str) -> None:
 
 def params_long(params: DataFrame) -> DataFrame:
     """The nested maps as rows (metric, model, value)."""
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+
     def rows_of(name):
-        return F.transform(F.map_entries(name), lambda e: F.struct(
+        return F.transform(F.map_entries(F.coalesce(name, nothing)), lambda e: F.struct(
             F.lit(name).alias("metric"), e["key"].alias("model"), e["value"].alias("value")))
 
     maps = [f.name for f in params.schema.fields if isinstance(f.dataType, T.MapType)]
