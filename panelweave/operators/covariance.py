@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +37,23 @@ def realized_cov(returns: DataFrame, ridge: float = 0.0, bar_block: int = 512, t
     else:
         rows = rows.select("*", *[F.lit(0).alias(c) for c in ("own", "a", "b")])
 
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, who = np.unique(pdf["asset"].to_numpy(dtype=str), return_inverse=True)
-        bars, when = np.unique(pdf["bar"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(names), len(bars)))
-        np.add.at(x, (who, when), pdf["ret"].to_numpy())
+    def products(group: pa.Table) -> pa.Table:
+        coded = group["asset"].combine_chunks().dictionary_encode()
+        names = coded.dictionary.take(pc.sort_indices(coded.dictionary))
+        who = pc.index_in(coded.dictionary, names).to_numpy()[coded.indices.to_numpy()]
+        x = np.zeros((len(names), bar_block))
+        np.add.at(x, (who, group["bar"].to_numpy() % bar_block), group["ret"].to_numpy())
         g = x @ x.T
         a, b = np.triu_indices(len(names))
-        if pdf["a"].iloc[0] != pdf["b"].iloc[0]:  # two tiles: only pairs across them
+        if group["a"][0] != group["b"][0]:  # two tiles: only the pairs across them
             tile = np.zeros(len(names), dtype=int)
-            tile[who] = pdf["own"].to_numpy()
+            tile[who] = group["own"].to_numpy()
             keep = tile[a] != tile[b]
             a, b = a[keep], b[keep]
-        return pd.DataFrame({"day": pdf["day"].iloc[0], "i": names[a], "j": names[b], "v": g[a, b]})
+        day = pa.repeat(group["day"][0], len(a))
+        return pa.table({"day": day, "i": names.take(pa.array(a)), "j": names.take(pa.array(b)), "v": g[a, b]})
 
-    parts = rows.groupBy("day", "block", "a", "b").applyInPandas(
+    parts = rows.groupBy("day", "block", "a", "b").applyInArrow(
         products, "day date, i string, j string, v double")
     total = F.sum("v") + F.when(F.col("i") == F.col("j"), F.lit(ridge)).otherwise(F.lit(0.0))
     return parts.groupBy("day", "i", "j").agg(total.alias("v"))

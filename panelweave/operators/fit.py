@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -104,21 +105,23 @@ FITTED = ("model string, config_id int, fold int, equation int, intercept double
 
 
 def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFrame | None = None,
-        block: int = 32) -> DataFrame:
+        block: int = 32, path_length: int = 16) -> DataFrame:
     """One row per (config, fold, equation), non-zero coefficients as arrays.
 
     `links` is (fold, i, j, p): network means between assets numbered from 0,
     either direction once; a config connects the pairs with p >= tau.  The
-    configs of one model form a path, solved from the largest penalty down
-    with warm starts.
+    configs of one model form paths of at most `path_length`, solved from the
+    largest penalty down with warm starts; paths and blocks run in parallel.
     """
     p, k = layout.p, layout.n_assets
     n_blocks = -(-k // block)
+    ordered = sorted(configs, key=lambda c: (c.model, -c.lam_net, c.tau or 0.0, -(c.lam_exog or 0.0), -c.lam,
+                                             -c.lam_smooth))
     paths: dict[str, list[Config]] = {}
-    for c in configs:
-        paths.setdefault(c.model, []).append(c)
-    for path in paths.values():
-        path.sort(key=lambda c: (-c.lam_net, c.tau or 0.0, -(c.lam_exog or 0.0), -c.lam, -c.lam_smooth))
+    for model, group in groupby(ordered, key=lambda c: c.model):
+        run = list(group)
+        for start in range(0, len(run), path_length):
+            paths[f"{model}/{start}"] = run[start:start + path_length]
     smooth = any(c.lam_smooth for c in configs)
 
     everywhere = F.sequence(F.lit(0), F.lit(n_blocks - 1))

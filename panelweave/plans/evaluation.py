@@ -316,6 +316,43 @@ SELECT model, n_days, round(z, 6) AS dm_stat, round(CASE WHEN a > 3
     ELSE ln(1 - 2 * exp(-a * a / 2) / sqrt(2 * pi()) * {series}) END / ln(10), 6) AS dm_log10_p FROM p"""
 
 
+def _boot_sql(reps: int) -> str:
+    return f"""
+l AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS t,
+             count(*) OVER (PARTITION BY model) AS n FROM losses),
+nn AS (SELECT max(n) AS n, CAST(ceil(max(n) / {BLOCK}.0) AS BIGINT) AS nb FROM l),
+d0 AS (SELECT r.rep, k.nth, n, nb, ((r.rep * nb + k.nth + 1) * 48271 + {SEED}) % 2147483647 AS u
+       FROM nn CROSS JOIN (SELECT unnest(range({reps})) AS rep) r
+       CROSS JOIN LATERAL (SELECT unnest(range(nb)) AS nth) k),
+d1 AS (SELECT *, (u * u + u) % 2147483647 AS u2 FROM d0),
+d2 AS (SELECT *, ((u2 * 69621 + 12345) % 2147483647) % n AS start FROM d1),
+dr AS (SELECT rep, (start + off) % n AS t FROM d2 CROSS JOIN (SELECT unnest(range({BLOCK})) AS off)
+       WHERE nth * {BLOCK} + off < n),
+boot AS MATERIALIZED (SELECT rep, model, avg(loss) AS mean_loss FROM dr JOIN l USING (t) GROUP BY 1, 2)"""
+
+
+def _mcs_sql(reps: int, models: int) -> str:
+    """Elimination, one round per CTE group: statistic, p-value, model that leaves."""
+    steps = ["s1 AS (SELECT model, avg(loss) AS m FROM losses GROUP BY model)"]
+    for k in range(1, models):
+        steps.append(f"""
+c{k} AS (SELECT model, m - avg(m) OVER () AS d FROM s{k}),
+x{k} AS (SELECT rep, b.model, mean_loss - avg(mean_loss) OVER (PARTITION BY rep) - d AS e
+         FROM boot b JOIN c{k} c ON c.model = b.model),
+v{k} AS (SELECT model, sqrt(avg(e * e)) AS sd FROM x{k} GROUP BY model),
+t{k} AS (SELECT model, d / sd AS t FROM c{k} JOIN v{k} USING (model)),
+q{k} AS (SELECT avg(CASE WHEN top >= (SELECT max(t) FROM t{k}) THEN 1.0::DOUBLE ELSE 0 END) AS p
+         FROM (SELECT rep, max(e / sd) AS top FROM x{k} JOIN v{k} USING (model) GROUP BY rep)),
+o{k} AS (SELECT arg_max(model, t) AS model, (SELECT p FROM q{k}) AS p FROM t{k}),
+s{k + 1} AS (SELECT * FROM s{k} WHERE model <> (SELECT model FROM o{k}))""")
+    out = " UNION ALL ".join(f"SELECT {k} AS k, model, p FROM o{k}" for k in range(1, models))
+    return f"""
+WITH {WEEKLY}, {_boot_sql(reps)}, {', '.join(steps)},
+z AS ({out} UNION ALL SELECT {models}, model, 1.0 FROM s{models}),
+y AS (SELECT model, max(p) OVER (ORDER BY k) AS mcs_p FROM z)
+SELECT model, mcs_p, mcs_p >= 0.1 AS in_set FROM y"""
+
+
 _NAIVE = f"""{weights_cte()},
 mm AS (SELECT t, day, asset, w, lag(w) OVER a AS w_before, 1.0::DOUBLE / count(*) OVER (PARTITION BY day) AS equal,
        {', '.join(f'avg(w) OVER (a ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS m{n}' for n in WINDOWS)}
@@ -352,18 +389,8 @@ SELECT model, round(avg(t), 9) AS turnover_econ FROM x GROUP BY model""",
     "g07_diebold_mariano": _dm_sql(0),
     "g07_diebold_mariano_hac": _dm_sql(4),
     "g08_bootstrap_means": f"""
-WITH {WEEKLY},
-l AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY day) - 1 AS t,
-             count(*) OVER (PARTITION BY model) AS n FROM losses),
-nn AS (SELECT max(n) AS n, CAST(ceil(max(n) / {BLOCK}.0) AS BIGINT) AS nb FROM l),
-d0 AS (SELECT r.rep, k.nth, n, nb, ((r.rep * nb + k.nth + 1) * 48271 + {SEED}) % 2147483647 AS u
-       FROM nn CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r
-       CROSS JOIN LATERAL (SELECT unnest(range(nb)) AS nth) k),
-d1 AS (SELECT *, (u * u + u) % 2147483647 AS u2 FROM d0),
-d2 AS (SELECT *, ((u2 * 69621 + 12345) % 2147483647) % n AS start FROM d1),
-dr AS (SELECT rep, (start + off) % n AS t FROM d2 CROSS JOIN (SELECT unnest(range({BLOCK})) AS off)
-       WHERE nth * {BLOCK} + off < n)
-SELECT CAST(rep AS INT) AS rep, model, round(avg(loss), 9) AS mean_loss FROM dr JOIN l USING (t) GROUP BY 1, 2""",
+WITH {WEEKLY}, {_boot_sql(REPS)} SELECT CAST(rep AS INT) AS rep, model, round(mean_loss, 9) AS mean_loss FROM boot""",
+    "g08_confidence_set": _mcs_sql(2000, 4),
     "g09_portfolio_return": f"WITH {MONTHLY} SELECT model, day, round(ret, 8) AS ret FROM port",
     "g10_volatility": f"WITH {MONTHLY} SELECT model, round(volatility, 7) AS volatility FROM sh",
     "g11_portfolio_variance": f"WITH {MONTHLY} SELECT model, day, round(variance, 7) AS variance FROM var",

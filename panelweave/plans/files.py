@@ -17,9 +17,18 @@ from .models import _SINGLE, equations, single_fit
 from .sqltext import event_returns_cte, predictions_cte, trade_returns_cte, weights_cte
 
 
+def _write_return_files(returns, path):
+    """The layout `read_returns` expects: per day one line per asset, its returns in bar order."""
+    line = F.concat_ws(",", F.col("asset"), F.concat_ws(",", F.transform(
+        F.array_sort(F.collect_list(F.struct("bar", "ret"))), lambda c: c["ret"].cast("string"))))
+    stamp = F.concat(F.date_format("day", "yyyy MM dd"), F.lit("_1min_log_return"))
+    (returns.groupBy("day", "asset").agg(line.alias("value")).select(stamp.alias("file"), "value")
+     .hint("rebalance", "file").write.partitionBy("file").text(path))
+
+
 def _returns(spark, sf):
     path = scratch_path(spark, "return-files")
-    files.write_return_files(b.event_returns(spark, sf), path)
+    _write_return_files(b.event_returns(spark, sf), path)
     return files.read_returns(spark, path).select("day", "bar", "asset", *r("ret", digits=8))
 
 

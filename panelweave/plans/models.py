@@ -30,7 +30,8 @@ MONTH_CUTS = [39, 47, 55]
 TAU = 0.3
 SINGLE_LAMS = [0.0, 0.0005, 0.001, 0.002]
 SINGLE = [fm.Config("ols", 0, lam_exog=0.0, kind="ols")] + [
-    fm.Config("lasso", n + 1, lam_exog=lam) for n, lam in enumerate(SINGLE_LAMS)]
+    fm.Config("lasso", n + 1, lam_exog=lam) for n, lam in enumerate(SINGLE_LAMS)] + [
+    fm.Config("smooth", 9, lam_exog=SINGLE_LAMS[1], lam_smooth=0.5)]
 
 FULL = [
     fm.Config("M1", 0, kind="ols"),
@@ -121,9 +122,9 @@ def _ols_single(spark, sf):
         F.round(F.max(F.when(F.col("pos") == 1, F.col("beta"))), 9).alias("slope"))
 
 
-def _lasso_single(spark, sf):
+def _lasso_single(spark, sf, model="lasso"):
     w, _, fitted = single_fit(spark, sf)
-    coefs = fm.coefficients(fitted.filter("model = 'lasso'"), equations(w))
+    coefs = fm.coefficients(fitted.filter(F.col("model") == model), equations(w))
     return coefs.groupBy("config_id", "fold", "asset").agg(
         F.round(F.max(F.when(F.col("pos") == 0, F.col("beta"))), 7).alias("intercept"),
         F.round(F.coalesce(F.max(F.when(F.col("pos") == 1, F.col("beta"))), F.lit(0.0)), 9).alias("slope"))
@@ -180,6 +181,13 @@ def _backtest(spark, sf):
     return fm.fold_metrics(pred, fitted, w, layout_of(6)).drop("fit_time_s", "density")
 
 
+def _backtest_single(spark, sf):
+    w, long, fitted = single_fit(spark, sf)
+    pred = stage(fm.predict(fm.validation_rows(long, CUTS, HORIZON), fm.coefficients(fitted, equations(w))), "forecasts")
+    return fm.fold_metrics(pred, fitted, w, fm.Layout(6, 0, 1)).select(
+        "model", "config_id", "fold", *r("val_mse", "mae", digits=9), *r("turnover_econ", "turnover_seq", "n_alive"))
+
+
 @lru_cache
 def recurrent_parameters(n_features: int, hidden: int, k: int) -> dict:
     """A fixed set of network parameters, given by a rule: smooth, bounded, no randomness.
@@ -226,12 +234,14 @@ QUERIES = {
     "f03_sparse_varx": _fit_of("M3"),
     "f04_self_free": _fit_of("M3a"),
     "f05_network_varx": _fit_of("M4"),
+    "f06_smoothed_single": lambda spark, sf: _lasso_single(spark, sf, "smooth"),
     "f06_smoothed_varx": _fit_of("M5"),
     "f08_predict_single": _predict_single,
     "f09_recurrent_scoring": _recurrent,
     "f10_grid_search_single": _grid_single,
     "f10_grid_search": _grid,
     "f13_backtest": _backtest,
+    "f13_backtest_single": _backtest_single,
 }
 
 _SINGLE = f"""{weights_cte('day')},
@@ -239,17 +249,28 @@ od AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS x FROM order
 z AS (SELECT w.t, w.day, w.asset, w.w AS y, o.x FROM idx w
       ASOF JOIN (SELECT CAST(day + INTERVAL 1 DAY AS DATE) AS day, x FROM od) o ON w.day >= o.day),
 f(fold, cut) AS (VALUES {', '.join(f'({n}, {c})' for n, c in enumerate(CUTS))}),
-mo AS (SELECT fold, cut, asset, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy,
-              regr_slope(y, x) AS slope FROM z JOIN f ON z.t < f.cut GROUP BY 1, 2, 3),
-lam(model, config_id, l) AS (VALUES ('ols', 0, 0.0::DOUBLE),
-  {', '.join(f"('lasso', {n + 1}, {l}::DOUBLE)" for n, l in enumerate(SINGLE_LAMS))}),
+zd AS (SELECT *, x - lag(x) OVER (PARTITION BY asset ORDER BY t) AS dx FROM z),
+mo AS (SELECT fold, cut, asset, sum(dx * dx) / count(*) / var_pop(x) AS rough, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy,
+              regr_slope(y, x) AS slope FROM zd JOIN f ON zd.t < f.cut GROUP BY 1, 2, 3),
+lam(model, config_id, l, ls) AS (VALUES ('ols', 0, 0.0::DOUBLE, 0.0::DOUBLE), ('smooth', 9, {SINGLE_LAMS[1]}::DOUBLE, 0.5::DOUBLE),
+  {', '.join(f"('lasso', {n + 1}, {l}::DOUBLE, 0.0::DOUBLE)" for n, l in enumerate(SINGLE_LAMS))}),
 co AS (SELECT model, config_id, l, fold, cut, asset, mx, my,
-              sign(cxy) * greatest(abs(cxy) / sx - l, 0) / sx AS slope FROM mo CROSS JOIN lam),
+              sign(cxy) * greatest(abs(cxy) / sx - l, 0) / sx / (1 + ls * rough) AS slope FROM mo CROSS JOIN lam),
 coef AS (SELECT *, my - mx * slope AS intercept FROM co),
 raw AS (SELECT model, config_id, l, fold, z.t, z.day, z.asset, intercept + slope * x AS p
         FROM coef JOIN z ON z.asset = coef.asset AND z.t >= cut AND z.t < cut + {HORIZON}),
 pred AS (SELECT *, p / sum(p) OVER (PARTITION BY model, config_id, fold, day) AS w_hat FROM raw)"""
 
+_SCORED = """
+b AS (SELECT day, asset, w, lag(w) OVER (PARTITION BY asset ORDER BY day) AS w_before FROM weights),
+e AS (SELECT p.*, b.w, b.w_before, lag(w_hat) OVER (PARTITION BY model, config_id, fold, p.asset ORDER BY p.day) AS before
+      FROM pred p JOIN b USING (day, asset)),
+dd AS (SELECT model, config_id, l, fold, day, sum(abs(w_hat - w_before)) AS te, sum(abs(w_hat - before)) AS ts,
+              avg((w_hat - w) * (w_hat - w)) AS se,
+              avg(abs(w_hat - w)) AS ae FROM e GROUP BY ALL),
+ff AS (SELECT model, config_id, l, fold, avg(se) AS val_mse, avg(ae) AS mae, avg(te) AS te, avg(ts) AS ts FROM dd GROUP BY ALL),
+nz AS (SELECT model, config_id, fold, count(*) FILTER (slope <> 0)::DOUBLE AS n FROM coef GROUP BY ALL)"""
+
 ORACLES = {
     "f00_moments": f"""
 WITH {weights_cte('day')},
@@ -271,17 +292,18 @@ WITH {_SINGLE} SELECT fold, asset, round(my - mx * slope, 7) AS intercept, round
     "f02_lasso_single": f"""
 WITH {_SINGLE} SELECT config_id, fold, asset, round(intercept, 7) AS intercept, round(slope, 9) AS slope
 FROM coef WHERE model = 'lasso'""",
+    "f06_smoothed_single": f"""
+WITH {_SINGLE} SELECT config_id, fold, asset, round(intercept, 7) AS intercept, round(slope, 9) AS slope
+FROM coef WHERE model = 'smooth'""",
+    "f13_backtest_single": f"""
+WITH {_SINGLE}, {_SCORED}
+SELECT model, config_id, fold, round(val_mse, 9) AS val_mse, round(mae, 9) AS mae, round(te, 7) AS turnover_econ,
+       round(ts, 7) AS turnover_seq, round(n, 7) AS n_alive FROM ff JOIN nz USING (model, config_id, fold)""",
     "f08_predict_single": f"""
 WITH {_SINGLE} SELECT model, config_id, fold, CAST(t AS INT) AS t, day, asset, round(w_hat, 8) AS w_hat FROM pred""",
     "f10_grid_search_single": f"""
 WITH {_SINGLE},
-b AS (SELECT day, asset, w, lag(w) OVER (PARTITION BY asset ORDER BY day) AS w_before FROM weights),
-e AS (SELECT p.*, b.w, b.w_before, lag(w_hat) OVER (PARTITION BY model, config_id, fold, p.asset ORDER BY p.day) AS before
-      FROM pred p JOIN b USING (day, asset)),
-dd AS (SELECT model, config_id, l, fold, day, sum(abs(w_hat - w_before)) AS te, sum(abs(w_hat - before)) AS ts,
-              avg((w_hat - w) * (w_hat - w)) AS se FROM e GROUP BY ALL),
-ff AS (SELECT model, config_id, l, fold, avg(se) AS val_mse, avg(te) AS te, avg(ts) AS ts FROM dd GROUP BY ALL),
-nz AS (SELECT model, config_id, fold, count(*) FILTER (slope <> 0)::DOUBLE AS n FROM coef GROUP BY ALL)
+{_SCORED}
 SELECT model, config_id, l AS "LAMBDA_EXOG", round(avg(val_mse), 9) AS mean_val_mse,
        round(stddev_pop(val_mse), 9) AS std_val_mse, round(avg(te), 7) AS mean_turnover_econ,
        round(avg(ts), 7) AS mean_turnover_seq, round(avg(1 - n / 6), 7) AS mean_sparsity, round(avg(n), 7) AS mean_n_alive

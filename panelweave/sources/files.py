@@ -46,21 +46,15 @@ def read_returns(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         "day", "bar", "asset", F.col("ret").cast("double").alias("ret"))
 
 
-def write_return_files(returns: DataFrame, path: str) -> None:
-    """The layout `read_returns` reads: one folder per day, one line per asset in bar order."""
-    line = F.concat_ws(",", F.col("asset"), F.concat_ws(",", F.transform(
-        F.array_sort(F.collect_list(F.struct("bar", "ret"))), lambda c: c["ret"].cast("string"))))
-    stamp = F.concat(F.date_format("day", "yyyy MM dd"), F.lit("_1min_log_return"))
-    (returns.groupBy("day", "asset").agg(line.alias("value")).select(stamp.alias("file"), "value")
-     .repartition("file").write.partitionBy("file").text(path))
+def cache_returns(returns: DataFrame, path: str, bar_block: int = 4096) -> None:
+    """A2: columnar cache, arrays of up to `bar_block` returns per (day, asset), partitioned by year.
 
-
-def cache_returns(returns: DataFrame, path: str) -> None:
-    """A2: columnar cache, one array per (day, asset) in bar order, partitioned by year."""
+    Blocks keep every array, and so every group, small however long a day is;
+    the rebalance splits large years over tasks and merges small ones."""
     cells = F.array_sort(F.collect_list(F.struct("bar", "ret")))
-    (returns.groupBy("day", "asset").agg(cells.alias("c"))
+    (returns.groupBy("day", "asset", F.floor(F.col("bar") / bar_block).alias("block")).agg(cells.alias("c"))
      .select(F.year("day").alias("year"), "day", "asset", F.col("c.bar").alias("bars"), F.col("c.ret").alias("r"))
-     .write.partitionBy("year").parquet(path))
+     .hint("rebalance", "year").write.partitionBy("year").parquet(path))
 
 
 def read_cached_returns(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -98,7 +92,7 @@ def to_long(wide: DataFrame) -> DataFrame:
 def write_edges(edges: DataFrame, path: str) -> None:
     """A5: network store, partitioned by month; days sorted inside so that a day filter skips row groups."""
     (edges.withColumn("month", F.date_format("day", "yyyy-MM"))
-     .repartition("month").sortWithinPartitions("month", "day").write.partitionBy("month").parquet(path))
+     .hint("rebalance", "month").sortWithinPartitions("month", "day").write.partitionBy("month").parquet(path))
 
 
 def read_edges(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
@@ -146,8 +140,8 @@ def split_failed(status: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_predictions(pred: DataFrame, path: str) -> None:
     """Prediction store, one partition per model.
 
-    Rows are spread by model and year, so one large model does not end in one task."""
-    (pred.repartition("model", F.year("day")).sortWithinPartitions("model", "day")
+    The rebalance splits a model that is larger than the others over several tasks."""
+    (pred.hint("rebalance", "model").sortWithinPartitions("model", "day")
      .write.partitionBy("model").parquet(path))
 
 
