@@ -72,6 +72,13 @@ def min_variance(s):
     return x / x.sum()
 
 
+def least_squares(gram, cross, rcond=1e-10):
+    """Shortest solution of gram @ b = cross; shares that sum to 1 make the Gram matrix singular."""
+    val, vec = np.linalg.eigh(gram)
+    keep = val > rcond * val[-1]
+    return vec[:, keep] @ ((vec[:, keep].T @ cross) / val[keep, None])
+
+
 def weighted_lasso(gram, cross, pen, beta, tol=1e-10, max_sweeps=1000):
     """Coordinate descent for several equations that share one Gram matrix.
 

@@ -73,19 +73,6 @@ def rolling_cov(cov: DataFrame, window: int = 40, full: bool = True) -> DataFram
     return out.filter(F.col("n_days") == window) if full else out.filter(F.col("n_days") > 0)
 
 
-def correlations(returns: DataFrame) -> DataFrame:
-    """Pearson correlation per day and pair i < j.
-
-    Series are centred and scaled to length 1 first, so that the products of C1
-    are correlations and need no join with variances. Constant series drop out.
-    """
-    series = Window.partitionBy("day", "asset")
-    centred = returns.withColumn("c", F.col("ret") - F.avg("ret").over(series))
-    unit = centred.withColumn("ret", F.try_divide("c", F.sqrt(F.sum(F.col("c") * F.col("c")).over(series))))
-    cells = realized_cov(unit.filter(F.col("ret").isNotNull()).select("day", "bar", "asset", "ret"))
-    return cells.filter(F.col("i") < F.col("j"))
-
-
 SOLVED = ("day date, lambda double, status string, ridge_used double, iterations int, gap double, "
           "log_det double, trace double, n_edges int, seconds double, "
           "i array<string>, j array<string>, v array<double>")
@@ -144,39 +131,6 @@ def solve_status(solved: DataFrame) -> DataFrame:
     return solved.drop("i", "j", "v")
 
 
-def lambda_scan(solved: DataFrame, next_variance: DataFrame | None = None, n_assets: int = 0) -> DataFrame:
-    """Per lambda the share of days solved, mean density, seconds and out-of-sample variance.
-
-    `next_variance` is (lambda, day, variance) of the weights tried on later days."""
-    pairs = n_assets * (n_assets - 1) / 2
-    out = solved.groupBy("lambda").agg(
-        F.count(F.lit(1)).alias("n_days"),
-        F.avg((F.col("status") == "ok").cast("double")).alias("success_rate"),
-        F.avg(F.when(F.col("status") == "ok", F.col("n_edges") / pairs)).alias("density"),
-        F.avg("seconds").alias("seconds"))
-    if next_variance is not None:
-        out = out.join(next_variance.groupBy("lambda").agg(F.avg("variance").alias("oos_variance")),
-                       "lambda", "left")
-    return out
-
-
-def choose_lambda(scores: DataFrame) -> DataFrame:
-    """C14, last step: the lambda with the lowest score (the larger one on a tie)."""
-    return scores.agg(F.min_by("lambda", F.struct("score", -F.col("lambda"))).alias("lambda"),
-                      F.min("score").alias("score"))
-
-
-def bic_choice(solved: DataFrame, n_bars: DataFrame) -> DataFrame:
-    """C15, last step: per day the lambda with the lowest BIC = -2 loglik + log(M) * edges.
-
-    n_bars is (day, n_bars); the covariance is a sum over M bars, so the
-    log-likelihood is M/2 * (log det - trace) up to a constant of the day."""
-    loss = F.col("n_bars") * (F.col("trace") - F.col("log_det")) + F.log("n_bars") * F.col("n_edges")
-    scored = solved.filter("status = 'ok'").join(n_bars, "day").withColumn("bic", loss)
-    best = F.min_by(F.struct("lambda", "n_edges", "bic"), F.struct("bic", "lambda"))
-    return scored.groupBy("day").agg(best.alias("b")).select("day", "b.*")
-
-
 def solve_report(status: DataFrame) -> DataFrame:
     """Days, failed days and share solved per month."""
     failed = F.count_if(F.col("status") != "ok")

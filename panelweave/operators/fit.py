@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import weighted_lasso
+from ..functions.kernels import least_squares, weighted_lasso
 from .evaluate import accuracy, fold_dispersion, turnover_econ, turnover_seq
 from .panel import spread
 from .portfolio import renormalise
@@ -170,7 +170,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
                 pen[: layout.n_lagged][own] = 0.0
             g = (gram + c.lam_smooth * change)[np.ix_(keep, keep)]
             if c.kind == "ols":
-                beta[keep] = np.linalg.lstsq(g, cross[keep], rcond=1e-10)[0]
+                beta[keep] = least_squares(g, cross[keep])
             else:
                 beta[keep] = weighted_lasso(g, cross[keep], pen[keep], beta[keep])
             beta[~keep] = 0.0
@@ -249,17 +249,25 @@ def grid_results(per_fold: DataFrame, configs: Sequence[Config], metrics: Sequen
     return params.join(means, ["model", "config_id"]).select(*params.columns, "std_val_mse", *keep)
 
 
-def grid_search(rows: DataFrame, long: DataFrame, weights: DataFrame, assets: DataFrame, configs: Sequence[Config],
-                layout: Layout, cuts: Sequence[int], horizon: int, links: DataFrame | None = None,
-                stage=lambda df, name: df) -> DataFrame:
-    """Fit every config on every expanding fold, forecast the days after it, score.
+def backtest(rows: DataFrame, long: DataFrame, weights: DataFrame, assets: DataFrame, configs: Sequence[Config],
+             layout: Layout, cuts: Sequence[int], horizon: int, links: DataFrame | None = None,
+             stage=lambda df, name: df) -> DataFrame:
+    """fit every config on every expanding fold, forecast the days after it, score; one row each.
 
-    One job chain for all folds and configs; `stage` (a function of table and
-    name) writes the fits and the forecasts once, since both are read twice.
+    One chain of jobs for all folds and configs, no loop over folds. `stage` (a
+    function of table and name) writes the fits and the forecasts once, since
+    both are read twice.
     """
     fitted = stage(fit(moments(rows, cuts), configs, layout, links), "fits")
     pred = stage(predict(validation_rows(long, cuts, horizon), coefficients(fitted, assets)), "forecasts")
-    return grid_results(fold_metrics(pred, fitted, weights, layout), configs)
+    return fold_metrics(pred, fitted, weights, layout)
+
+
+def grid_search(rows: DataFrame, long: DataFrame, weights: DataFrame, assets: DataFrame, configs: Sequence[Config],
+                layout: Layout, cuts: Sequence[int], horizon: int, links: DataFrame | None = None,
+                stage=lambda df, name: df) -> DataFrame:
+    """the backtest of every config, summarised over the folds."""
+    return grid_results(backtest(rows, long, weights, assets, configs, layout, cuts, horizon, links, stage), configs)
 
 
 def select_models(grid: DataFrame, chain: Sequence[tuple[str, str]] = (("M4", "M3a"),),

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import covariance as cv
 from ..operators import network as nw
-from ..operators import portfolio as pf
-from ..operators import quality as q
-from ..operators.evaluate import portfolio_variance
+from ..operators import penalty as pn
 from ..sources import bindings as b
 from ..sources.scratch import stage
 from .sqltext import cov_cte, event_returns_cte, trade_returns_cte
@@ -44,8 +42,7 @@ def pair_solved(spark, sf, lambdas=LAMBDAS):
 
 def brand_edges(spark, sf):
     """Pairs of brands whose daily bars correlate within a month."""
-    corr = cv.correlations(b.trade_returns(spark, sf, "p_brand"))
-    return stage(corr.filter(F.col("v") > CORR).select("day", "i", "j"), "edges")
+    return stage(b.correlated_pairs(b.trade_returns(spark, sf, "p_brand"), CORR), "edges")
 
 
 def months(spark, sf):
@@ -136,30 +133,22 @@ def _mask(spark, sf, use_last_day=False):
 
 
 def _scan(spark, sf):
-    return cv.lambda_scan(pair_solved(spark, sf), n_assets=2).select("lambda", "n_days", *r("success_rate", "density"))
+    return pn.lambda_scan(pair_solved(spark, sf), pair_cov(spark, sf), 2).select(
+        "lambda", "n_days", *r("success_rate", "density"), *r("oos_variance", digits=6))
 
 
-def _select(spark, sf):
-    return select_lambda(pair_cov(spark, sf), LAMBDAS).select("lambda", *r("score"))
+def chosen_lambda(spark, sf):
+    return pn.select_lambda(pair_cov(spark, sf), LAMBDAS, **EXACT)
 
 
-def select_lambda(cov, lambdas, train=44, valid=5, test=22):
-    """C14: pool the training days, solve per lambda, score the weights' variance on the validation days."""
-    window = q.fixed_window(cov, train, valid, test)
-    pooled = cv.pooled_cov(cov, window.filter("part = 'train'")).withColumn("day", F.lit("1970-01-01").cast("date"))
-    w = pf.w_from_prec(cv.precision_cells(cv.glasso(pooled, lambdas, **EXACT)), "lambda")
-    validation = window.filter("part = 'validation'").select("day")
-    tried = stage(w, "candidates").withColumn("days", validation.agg(F.collect_list("day")).scalar()).select(
-        F.col("lambda").alias("model"), F.explode("days").alias("day"), "asset", F.col("w").alias("w_hat"))
-    scores = portfolio_variance(tried, cov).groupBy(F.col("model").alias("lambda")).agg(F.avg("variance").alias("score"))
-    return cv.choose_lambda(scores)
+def _select(spark, sf):
+    return chosen_lambda(spark, sf).select("lambda", *r("score"))
 
 
 def _factor_bic(spark, sf):
     returns = stage(b.trade_returns(spark, sf), "returns")
-    bars = returns.groupBy("day").agg(F.count_distinct("bar").cast("double").alias("n_bars"))
-    solved = cv.glasso(cv.realized_cov(returns), LAMBDAS, ridges=(1e-2, 1e-1), n_factors=1, max_iter=500)
-    return cv.bic_choice(solved, bars).select("day", "lambda", "n_edges", *r("bic", digits=4))
+    return pn.factor_bic(returns, 1, LAMBDAS, ridges=(1e-2, 1e-1), max_iter=500).select(
+        "day", "lambda", "n_edges", *r("bic", digits=4))
 
 
 QUERIES = {
@@ -263,9 +252,14 @@ SELECT i, j, round(p, 9) AS p FROM x WHERE p >= 0.3""",
     "c12_network_mask_last_day": f"""
 WITH {_ABAR} SELECT i, j, round(p::DOUBLE, 9) AS p FROM abar WHERE t = (SELECT max(t) FROM abar) AND p >= 0.3""",
     "c13_lambda_scan": f"""
-WITH {PAIR_PREC}
-SELECT "lambda", count(*) AS n_days, 1.0::DOUBLE AS success_rate,
-       round(avg(CASE WHEN c <> 0 THEN 1.0::DOUBLE ELSE 0 END), 7) AS density FROM s GROUP BY s."lambda" """,
+WITH {PAIR_PREC},
+nx AS (SELECT *, lead(day) OVER (ORDER BY day) AS next FROM m),
+w AS (SELECT s."lambda" AS l, nx.next AS day, (s.b - s.c) / (s.a + s.b - 2 * s.c) AS f, s.c FROM s JOIN nx ON nx.day = s.day),
+v AS (SELECT l, avg(f * f * m.a + (1 - f) * (1 - f) * m.b + 2 * f * (1 - f) * m.c) AS oos
+      FROM w JOIN m ON m.day = w.day GROUP BY l)
+SELECT w.l AS "lambda", count(*) AS n_days, 1.0::DOUBLE AS success_rate,
+       round(avg(CASE WHEN w.c <> 0 THEN 1.0::DOUBLE ELSE 0 END), 7) AS density, round(any_value(oos), 6) AS oos_variance
+FROM w JOIN v ON v.l = w.l GROUP BY w.l""",
     "c14_lambda_selection": f"""
 WITH {_PAIR_COV},
 t AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS t FROM (SELECT DISTINCT day FROM cov)),

@@ -11,8 +11,7 @@ from ..operators import fit as fm
 from ..sources import bindings as b
 from ..sources import files
 from ..sources.scratch import scratch_path
-from .covariance import (_EDGES, _TWINS, LAMBDAS, SELECTED_SQL, _twin_cov, brand_edges, pair_cov, r,
-                         select_lambda)
+from .covariance import (_EDGES, _TWINS, SELECTED_SQL, _twin_cov, brand_edges, chosen_lambda, r)
 from .models import _SINGLE, equations, single_fit
 from .sqltext import event_returns_cte, predictions_cte, trade_returns_cte, weights_cte
 
@@ -105,7 +104,7 @@ def _model(spark, sf):
 
 def _lambda(spark, sf):
     path = scratch_path(spark, "lambda")
-    files.publish_lambda(select_lambda(pair_cov(spark, sf), LAMBDAS), path)
+    files.publish_lambda(chosen_lambda(spark, sf), path)
     return files.read_lambda(spark, path).select("lambda", *r("score"))
 
 

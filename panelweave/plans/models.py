@@ -11,12 +11,13 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import covariance as cv
 from ..operators import features as ft
 from ..operators import fit as fm
 from ..operators import network as nw
+from ..operators.portfolio import renormalise
 from ..operators.recurrent import score_sequences
 from ..sources import bindings as b
 from ..sources.scratch import stage
@@ -48,8 +49,6 @@ FULL = [
 
 def equations(panel):
     """(equation, asset): assets numbered from 0 in name order; K rows."""
-    from pyspark.sql import Window
-
     return panel.select("asset").distinct().withColumn(
         "equation", F.row_number().over(Window.orderBy("asset")) - 1)
 
@@ -85,9 +84,8 @@ def fold_links(abar, eq, month_cuts):
 
 
 def asset_links(spark, sf, asset, eq, month_cuts=MONTH_CUTS, threshold=0.1):
-    corr = cv.correlations(b.trade_returns(spark, sf, asset))
-    edges = corr.filter(F.col("v") > threshold).select("day", "i", "j")
-    return stage(fold_links(nw.rolling_network_mean(stage(edges, "edges"), months(spark, sf)), eq, month_cuts), "links")
+    edges = stage(b.correlated_pairs(b.trade_returns(spark, sf, asset), threshold), "edges")
+    return stage(fold_links(nw.rolling_network_mean(edges, months(spark, sf)), eq, month_cuts), "links")
 
 
 def single_design(spark, sf):
@@ -172,20 +170,19 @@ def _grid(spark, sf):
 
 
 def _backtest(spark, sf):
-    """Fold by fold: fit on the past, forecast the next window, score it."""
     w, long, _ = full_design(spark, sf)
     eq = stage(equations(w), "assets")
-    configs = [FULL[0], FULL[3]]
-    fitted = stage(fm.fit(fm.moments(rows_of(w, long, LAGS, layout_of(6).p), CUTS), configs, layout_of(6)), "fits")
-    pred = stage(fm.predict(fm.validation_rows(long, CUTS, HORIZON), fm.coefficients(fitted, eq)), "forecasts")
-    return fm.fold_metrics(pred, fitted, w, layout_of(6)).drop("fit_time_s", "density")
+    scores = fm.backtest(rows_of(w, long, LAGS, layout_of(6).p), long, w, eq, [FULL[0], FULL[3]], layout_of(6),
+                         CUTS, HORIZON, stage=stage)
+    return scores.drop("fit_time_s", "density")
 
 
 def _backtest_single(spark, sf):
-    w, long, fitted = single_fit(spark, sf)
-    pred = stage(fm.predict(fm.validation_rows(long, CUTS, HORIZON), fm.coefficients(fitted, equations(w))), "forecasts")
-    return fm.fold_metrics(pred, fitted, w, fm.Layout(6, 0, 1)).select(
-        "model", "config_id", "fold", *r("val_mse", "mae", digits=9), *r("turnover_econ", "turnover_seq", "n_alive"))
+    w, long = single_design(spark, sf)
+    scores = fm.backtest(rows_of(w, long, 0, 1), long, w, equations(w), SINGLE, fm.Layout(6, 0, 1), CUTS, HORIZON,
+                         stage=stage)
+    return scores.select("model", "config_id", "fold", *r("val_mse", "mae", digits=9),
+                         *r("turnover_econ", "turnover_seq", "n_alive"))
 
 
 @lru_cache
@@ -212,8 +209,6 @@ def _sequences(spark, sf, seq_len=30):
 
 def _recurrent(spark, sf):
     """Score, fill the first 29 test days with the moving mean, renormalise."""
-    from ..operators.portfolio import renormalise
-
     w, seqs = _sequences(spark, sf)
     assets = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     scored = score_sequences(seqs, recurrent_parameters(6, 16, 6), assets)

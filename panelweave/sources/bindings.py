@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.covariance import realized_cov
 from ..operators.features import trailing_means
 from ..operators.panel import bar_returns, densify, period_shares
 from .scratch import stage
@@ -79,6 +80,19 @@ def trade_returns(spark: SparkSession, sf_dir: str, asset: str = "p_type") -> Da
                        F.sequence(F.lit(1), F.dayofmonth(F.last_day("day"))))
 
 
+def correlated_pairs(returns: DataFrame, above: float) -> DataFrame:
+    """Stand-in networks for the graph operators: (day, i, j) whose bars correlate more than `above`.
+
+    Series are centred and scaled to length 1, so that the sums of products are
+    correlations and need no join with variances. Constant series drop out.
+    """
+    series = Window.partitionBy("day", "asset")
+    centred = returns.withColumn("c", F.col("ret") - F.avg("ret").over(series))
+    unit = centred.withColumn("ret", F.try_divide("c", F.sqrt(F.sum(F.col("c") * F.col("c")).over(series))))
+    cells = realized_cov(unit.filter(F.col("ret").isNotNull()).select("day", "bar", "asset", "ret"))
+    return cells.filter((F.col("i") < F.col("j")) & (F.col("v") > above)).select("day", "i", "j")
+
+
 def exog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order flow per order day, long: (day, name, x)."""
     price = F.col("o_totalprice")

@@ -14,6 +14,7 @@ from panelweave.operators import covariance as cv
 from panelweave.operators import evaluate as ev
 from panelweave.operators import features as ft
 from panelweave.operators import network as nw
+from panelweave.operators import penalty as pn
 from panelweave.operators import portfolio as pf
 from panelweave.operators import quality as q
 from panelweave.operators.confidence_set import bootstrap_means, mcs
@@ -117,7 +118,8 @@ def test_factor_removal_leaves_the_residual_covariance(spark):
     rets, x = returns(spark, 6, 40, 2, seed=3)
     bars = rets.groupBy("day").agg(F.count_distinct("bar").cast("double").alias("n_bars"))
     solved = cv.glasso(cv.realized_cov(rets), [1e-4, 1e-3], ridges=(1e-5,), n_factors=1)
-    chosen = cv.bic_choice(solved, bars).collect()
+    chosen = pn.bic_choice(solved, bars).collect()
+    assert chosen == pn.factor_bic(rets, 1, [1e-4, 1e-3], ridges=(1e-5,)).collect()
     by = {(r["day"], r["lambda"]): r for r in solved.collect()}
     for row in chosen:
         scores = {}
@@ -457,3 +459,23 @@ def test_published_sensitivity_counts(spark):
                                  "LAMBDA_LASSO double, mean_val_mse double")
     got = as_dict(ev.sensitivity(grid, "LAMBDA_LASSO", 1.15).select("LAMBDA_LASSO", "n_configs", "n_better"), "LAMBDA_LASSO")
     assert got == {(0.0,): (4, 2), (1.0,): (4, 0)}
+
+
+def test_lambda_selection_and_scan_against_numpy(spark):
+    from panelweave.functions.kernels import sparse_precision
+
+    rets, x = returns(spark, 4, 30, 12, seed=12)
+    cov = cv.realized_cov(rets)
+    lams = [1e-4, 1e-3, 4e-3]
+    s = np.stack([d.T @ d for d in x])
+    weights = {l: (lambda o: o.sum(1) / o.sum())(sparse_precision(s[:6].mean(0), l)[0]) for l in lams}
+    score = {l: np.mean([w @ m @ w for m in s[6:9]]) for l, w in weights.items()}
+    got = pn.select_lambda(cov, lams, train=6, valid=3, test=2).first()
+    assert got["lambda"] == min(score, key=score.get) and got["score"] == pytest.approx(min(score.values()), rel=1e-6)
+    scan = {r["lambda"]: r for r in pn.lambda_scan(cv.glasso(cov, lams), cov, 4).collect()}
+    for l in lams:
+        om = [sparse_precision(m, l)[0] for m in s]
+        w = [o.sum(1) / o.sum() for o in om]
+        assert scan[l]["oos_variance"] == pytest.approx(np.mean([w[d] @ s[d + 1] @ w[d] for d in range(11)]), rel=1e-5)
+        assert scan[l]["density"] == pytest.approx(np.mean([(np.count_nonzero(o) - 4) / 12 for o in om]))
+    assert scan[1e-4]["density"] > scan[4e-3]["density"]
