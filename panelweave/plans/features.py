@@ -8,7 +8,6 @@ from ..operators import features as ft
 from ..operators import network as nw
 from ..sources import bindings as b
 from ..sources import files
-from ..sources.scratch import stage
 from .covariance import _EDGES, brand_edges, months, r
 from .sqltext import predictions_cte, weights_cte
 

@@ -247,7 +247,8 @@ f(fold, cut) AS (VALUES {', '.join(f'({n}, {c})' for n, c in enumerate(CUTS))}),
 zd AS (SELECT *, x - lag(x) OVER (PARTITION BY asset ORDER BY t) AS dx FROM z),
 mo AS (SELECT fold, cut, asset, sum(dx * dx) / count(*) / var_pop(x) AS rough, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) AS cxy,
               regr_slope(y, x) AS slope FROM zd JOIN f ON zd.t < f.cut GROUP BY 1, 2, 3),
-lam(model, config_id, l, ls) AS (VALUES ('ols', 0, 0.0::DOUBLE, 0.0::DOUBLE), ('smooth', 9, {SINGLE_LAMS[1]}::DOUBLE, 0.5::DOUBLE),
+lam(model, config_id, l, ls) AS (VALUES ('ols', 0, 0.0::DOUBLE, 0.0::DOUBLE),
+  ('smooth', 9, {SINGLE_LAMS[1]}::DOUBLE, 0.5::DOUBLE),
   {', '.join(f"('lasso', {n + 1}, {l}::DOUBLE, 0.0::DOUBLE)" for n, l in enumerate(SINGLE_LAMS))}),
 co AS (SELECT model, config_id, l, fold, cut, asset, mx, my,
               sign(cxy) * greatest(abs(cxy) / sx - l, 0) / sx / (1 + ls * rough) AS slope FROM mo CROSS JOIN lam),

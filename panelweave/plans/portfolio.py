@@ -12,7 +12,7 @@ from ..operators import covariance as cv
 from ..operators import portfolio as pf
 from ..sources import bindings as b
 from ..sources.scratch import stage
-from .covariance import (_PAIR_COV, EXACT, LAM, LAMBDAS, PAIR, PAIR_PREC, PIVOT, SOLVE, WINDOW, pair_cov, pair_solved,
+from .covariance import (_PAIR_COV, EXACT, LAM, PAIR, PAIR_PREC, PIVOT, SOLVE, WINDOW, pair_cov, pair_solved,
                          r, type_cov)
 from .sqltext import cov_cte, predictions_cte, trade_returns_cte, weights_cte
 
