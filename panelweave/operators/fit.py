@@ -100,6 +100,7 @@ def moments(rows: DataFrame, cuts: Sequence[int]) -> DataFrame:
     return cells.groupBy("fold", "kind", "i", "j").agg(F.sum("v").alias("v"))
 
 
+MOMENT, CHANGE, LINK = 0, 1, 2
 FITTED = ("model string, config_id int, fold int, equation int, intercept double, "
           "pos array<int>, beta array<double>, density double, seconds double")
 
@@ -117,38 +118,41 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
     n_blocks = -(-k // block)
     ordered = sorted(configs, key=lambda c: (c.model, -c.lam_net, c.tau or 0.0, -(c.lam_exog or 0.0), -c.lam,
                                              -c.lam_smooth))
-    paths: dict[str, list[Config]] = {}
-    for model, group in groupby(ordered, key=lambda c: c.model):
+    paths: list[list[Config]] = []
+    for _, group in groupby(ordered, key=lambda c: c.model):
         run = list(group)
-        for start in range(0, len(run), path_length):
-            paths[f"{model}/{start}"] = run[start:start + path_length]
+        paths += [run[start:start + path_length] for start in range(0, len(run), path_length)]
     smooth = any(c.lam_smooth for c in configs)
 
-    everywhere = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    shared = (F.col("kind") == "d") | (F.col("j") <= p)
+    # rows of the matrices travel as arrays: p of them per matrix instead of p^2 cells
     used = mom.filter((F.col("i") <= p) & ((F.col("kind") == "z") | F.lit(smooth)))
-    rows = used.withColumn("blocks", F.when(shared, everywhere).otherwise(
-        F.array(F.floor((F.col("j") - p - 1) / block).cast("int"))))
+    target = F.when((F.col("kind") == "d") | (F.col("j") <= p), -1).otherwise(F.floor((F.col("j") - p - 1) / block))
+    cells = used.select("fold", F.when(F.col("kind") == "z", MOMENT).otherwise(CHANGE).alias("kind"), "i", "j", "v",
+                        target.cast("int").alias("target"))
     if links is not None:
         both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-        rows = rows.unionByName(
-            links.select("fold", F.lit("m").alias("kind"), F.inline(both), F.col("p").alias("v"))
-            .withColumn("blocks", F.array(F.floor(F.col("j") / block).cast("int"))))
-    rows = rows.select("fold", "kind", "i", "j", "v", F.explode("blocks").alias("block")).withColumn(
-        "path", F.explode(F.array(*[F.lit(m) for m in paths])))
+        pairs = links.select("fold", F.lit(LINK).alias("kind"), F.inline(both), F.col("p").alias("v"))
+        cells = cells.unionByName(pairs.withColumn("target", F.floor(F.col("j") / block).cast("int")))
+    everywhere = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    rows = (cells.groupBy("fold", "kind", "i", "target").agg(F.collect_list(F.struct("j", "v")).alias("c"))
+            .select("fold", "kind", "i", F.col("c.j").alias("js"), F.col("c.v").alias("vs"),
+                    F.explode(F.when(F.col("target") < 0, everywhere).otherwise(F.array("target"))).alias("block"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.lit(len(paths) - 1))).alias("path")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, path, b = pdf["fold"].iloc[0], pdf["path"].iloc[0], pdf["block"].iloc[0]
+        fold, path, b = (pdf[c].iloc[0] for c in ("fold", "path", "block"))
         lo, m = b * block, min(block, k - b * block)
-        i, j, v, kind = (pdf[c].to_numpy() for c in ("i", "j", "v", "kind"))
         g0, c0 = np.zeros((p + 1, p + 1)), np.zeros((p + 1, m))
         dd, link = np.zeros((p, p)), np.zeros((k, m))
-        zx, zy = (kind == "z") & (j <= p), (kind == "z") & (j > p)
-        g0[i[zx], j[zx]] = g0[j[zx], i[zx]] = v[zx]
-        c0[i[zy], j[zy] - p - 1 - lo] = v[zy]
-        d, ln = kind == "d", kind == "m"
-        dd[i[d], j[d]] = dd[j[d], i[d]] = v[d]
-        link[i[ln], j[ln] - lo] = v[ln]
+        for kind, i, js, vs in zip(pdf["kind"], pdf["i"], pdf["js"], pdf["vs"]):
+            if kind == LINK:
+                link[i, js - lo] = vs
+            elif kind == CHANGE:
+                dd[i, js] = dd[js, i] = vs
+            elif js[0] <= p:
+                g0[i, js] = g0[js, i] = vs
+            else:
+                c0[i, js - p - 1 - lo] = vs
 
         n = g0[0, 0]
         mean, y_mean = g0[0, 1:] / n, c0[0] / n
@@ -177,11 +181,11 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
             raw = beta / sd[:, None]
             icept = y_mean - mean @ raw
             took = (time.perf_counter() - began) / m
-            pairs = (link[:, :] >= c.tau).mean() if c.tau is not None else None
+            linked = (link >= c.tau).mean() if c.tau is not None else None
             for e in range(m):
                 pos = np.flatnonzero(raw[:, e])
                 out.append((c.model, c.config_id, fold, lo + e, icept[e], (pos + 1).tolist(),
-                            raw[pos, e].tolist(), pairs, took))
+                            raw[pos, e].tolist(), linked, took))
         return pd.DataFrame(out, columns=[f.split()[0] for f in FITTED.split(", ")])
 
     return spread(rows, "fold", "path", "block").groupBy("fold", "path", "block").applyInPandas(solve, FITTED)

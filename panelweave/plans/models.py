@@ -251,7 +251,7 @@ lam(model, config_id, l, ls) AS (VALUES ('ols', 0, 0.0::DOUBLE, 0.0::DOUBLE),
   ('smooth', 9, {SINGLE_LAMS[1]}::DOUBLE, 0.5::DOUBLE),
   {', '.join(f"('lasso', {n + 1}, {l}::DOUBLE, 0.0::DOUBLE)" for n, l in enumerate(SINGLE_LAMS))}),
 co AS (SELECT model, config_id, l, fold, cut, asset, mx, my,
-              sign(cxy) * greatest(abs(cxy) / sx - l, 0) / sx / (1 + ls * rough) AS slope FROM mo CROSS JOIN lam),
+              sign(cxy) * greatest(abs(cxy) / sx - l, 0) / sx / (1 + ls * rough) + 0.0 AS slope FROM mo CROSS JOIN lam),
 coef AS (SELECT *, my - mx * slope AS intercept FROM co),
 raw AS (SELECT model, config_id, l, fold, z.t, z.day, z.asset, intercept + slope * x AS p
         FROM coef JOIN z ON z.asset = coef.asset AND z.t >= cut AND z.t < cut + {HORIZON}),

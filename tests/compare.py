@@ -7,8 +7,10 @@ import math
 
 
 def _cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return (0, "")
+    if v is None:
+        return (0, "null")
+    if isinstance(v, float) and math.isnan(v):
+        return (0, "nan")
     if isinstance(v, bool):
         return (1, float(v))
     if isinstance(v, datetime.datetime):
@@ -43,6 +45,8 @@ def assert_same(names_a, data_a, names_b, data_b, tol=2e-6):
             assert kx == ky, (x, y)
             if isinstance(vx, float):
                 assert vx == vy or abs(vx - vy) <= tol * max(1.0, abs(vx)), (x, y)
+                # a negative zero prints differently and would break a comparison of text
+                assert vx != 0 or vy != 0 or math.copysign(1, vx) == math.copysign(1, vy), ("sign of zero", x, y)
             else:
                 assert vx == vy, (x, y)
     return exact, len(a)
