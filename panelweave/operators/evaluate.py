@@ -2,7 +2,8 @@
 
 Predictions are (model, day, asset, w_hat); realised weights (day, asset, w).
 All windows are per (model, asset) or per model over days, never over the
-whole table.
+whole table.  Ratios with a vanishing denominator (a constant series, identical
+models) are null rather than an error.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def dm_test(losses: DataFrame, base: str, lags: int = 0) -> DataFrame:
         terms.append(2 * (1 - l / (lags + 1)) * F.coalesce(F.sum(F.col("c") * F.col(f"c{l}")), F.lit(0.0)))
     n = F.count(F.lit(1))
     long_run = sum(terms[1:], terms[0]) / n
-    stat = cent.groupBy("model").agg((F.first("mean_d") / F.sqrt(long_run / n)).alias("dm_stat"),
+    stat = cent.groupBy("model").agg(F.try_divide(F.first("mean_d"), F.sqrt(long_run / n)).alias("dm_stat"),
                                      n.alias("n_days"))
     return (stat.withColumn("dm_log10_p", log10_normal_tail(F.col("dm_stat")))
             .withColumn("dm_p", F.pow(F.lit(10.0), F.col("dm_log10_p"))))
@@ -127,8 +128,8 @@ def sharpe(port: DataFrame, turnover: DataFrame, eta: float = 1e-4) -> DataFrame
     net = F.col("ret") - eta * F.coalesce(F.col("turnover"), F.lit(0.0))
     year = F.sqrt(F.lit(float(DAYS_PER_YEAR)))
     both = port.join(turnover, ["model", "day"], "left").withColumn("net", net)
-    return both.groupBy("model").agg((F.avg("ret") / F.stddev_samp("ret") * year).alias("sharpe"),
-                                     (F.avg("net") / F.stddev_samp("net") * year).alias("net_sharpe"))
+    return both.groupBy("model").agg((F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * year).alias("sharpe"),
+                                     (F.try_divide(F.avg("net"), F.stddev_samp("net")) * year).alias("net_sharpe"))
 
 
 def cumulative(port: DataFrame, compound: bool = False) -> DataFrame:
@@ -189,7 +190,7 @@ def improvement(metrics: DataFrame, ref: str, value: str = "mse") -> DataFrame:
     """Reduction against a reference model, in percent."""
     base = metrics.filter(F.col("model") == ref).select(value).scalar()
     return metrics.withColumn("ref_value", base).select(
-        "model", value, (100 * (1 - F.col(value) / F.col("ref_value"))).alias("improvement_pct"))
+        "model", value, (100 * (1 - F.try_divide(value, "ref_value"))).alias("improvement_pct"))
 
 
 def describe_weights(weights: DataFrame) -> DataFrame:
@@ -206,8 +207,8 @@ def describe_weights(weights: DataFrame) -> DataFrame:
     fourth = (F.col("m4") - 4 * F.col("m1") * F.col("m3") + 6 * F.pow("m1", 2) * F.col("m2")
               - 3 * F.pow("m1", 4))
     wide = sums.select(F.col("m1").alias("mean"), "n", "sd", "min", "max", "p25", "p50", "p75",
-                       (third / F.pow(var, 1.5)).alias("skewness"),
-                       (fourth / F.pow(var, 2)).alias("kurtosis"))
+                       F.try_divide(third, F.pow(var, 1.5)).alias("skewness"),
+                       F.try_divide(fourth, F.pow(var, 2)).alias("kurtosis"))
     return wide.unpivot([], wide.columns, "statistic", "value")
 
 

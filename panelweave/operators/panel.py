@@ -24,8 +24,8 @@ def densify(cells: DataFrame, universe: DataFrame, fill, value: str = "value") -
 
 
 def period_shares(dense: DataFrame) -> DataFrame:
-    """Add w = value / total of the day."""
-    return dense.withColumn("w", F.col("value") / F.sum("value").over(Window.partitionBy("day")))
+    """Add w = value / total of the day, null on a day without value."""
+    return dense.withColumn("w", F.try_divide("value", F.sum("value").over(Window.partitionBy("day"))))
 
 
 def bar_returns(cells: DataFrame, universe: DataFrame, bars: Column) -> DataFrame:

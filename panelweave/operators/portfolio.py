@@ -17,7 +17,7 @@ def w_from_prec(prec: DataFrame, *keys: str) -> DataFrame:
     mirrored = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("asset")))).otherwise(
         F.array(F.struct(F.col("i").alias("asset")), F.struct(F.col("j").alias("asset"))))
     rows = prec.select(*keys, "v", F.inline(mirrored)).groupBy(*keys, "asset").agg(F.sum("v").alias("s"))
-    return rows.select(*keys, "asset", (F.col("s") / F.sum("s").over(Window.partitionBy(*keys))).alias("w"))
+    return rows.select(*keys, "asset", F.try_divide("s", F.sum("s").over(Window.partitionBy(*keys))).alias("w"))
 
 
 def gmvp(cov: DataFrame) -> DataFrame:

@@ -479,3 +479,13 @@ def test_lambda_selection_and_scan_against_numpy(spark):
         assert scan[l]["oos_variance"] == pytest.approx(np.mean([w[d] @ s[d + 1] @ w[d] for d in range(11)]), rel=1e-5)
         assert scan[l]["density"] == pytest.approx(np.mean([(np.count_nonzero(o) - 4) / 12 for o in om]))
     assert scan[1e-4]["density"] > scan[4e-3]["density"]
+
+
+def test_vanishing_denominators_give_null(spark):
+    losses = spark.createDataFrame([(m, D[k], 0.5) for m in ("a", "b") for k in range(4)],
+                                   "model string, day date, loss double")
+    row = ev.dm_test(losses, "a").first()
+    assert row["dm_stat"] is None and row["dm_log10_p"] is None
+    port = losses.withColumnRenamed("loss", "ret")
+    flat = ev.sharpe(port, port.select("model", "day", F.lit(0.0).alias("turnover")))
+    assert {r["sharpe"] for r in flat.collect()} == {None}

@@ -15,6 +15,8 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("key", list(QUERIES))
 def test_query(spark, duck, sf_dir, key):
     df = QUERIES[key](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     data = [tuple(r) for r in df.collect()]
     assert data
     if key in ORACLES:
