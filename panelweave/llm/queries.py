@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, mixing, quality_rules, shards
+from panelweave.llm import bpe, chat_format, mixing, quality_rules, shards
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -13,6 +13,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of the contract; the package lies in the same place on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    path = tokenizer_path()
+    docs = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return bpe.decode(docs, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rules and the verdict of the cascade per document."""
     docs = quality_rules.cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_measures=True)
@@ -62,6 +78,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_histogram_sort": op3_histogram_sort,
     "op5_entropy_mix": op5_entropy_mix,
+    "op6_bpe": op6_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
