@@ -74,6 +74,10 @@ def _n_repeat_words(_: Column, array: Column) -> Column:
     return F.when(F.size(array) <= WINDOW, F.lit(0).cast("long")).otherwise(let(_windows(array), count))
 
 
+def _n_stutter(_: Column, array: Column) -> Column:
+    return let(array, lambda bound: F.size(F.filter(bound, lambda x, i: x == F.get(bound, i - 1))).cast("long"))
+
+
 #: What rules measure: functions of the text and its words.
 MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_words": lambda text, array: F.size(array).cast("long"),
@@ -82,7 +86,7 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_lines": _n_lines,
     "n_dup_lines": _n_dup_lines,
     "n_repeat_words": _n_repeat_words,
-    "n_stutter": lambda text, array: F.size(F.filter(array, lambda x, i: x == F.get(array, i - 1))).cast("long"),
+    "n_stutter": _n_stutter,
     "n_upper": lambda text, array: F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
 }
 
