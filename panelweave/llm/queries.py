@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, mixing, quality_rules, shards
+from panelweave.llm import bpe, chat_format, minhash, mixing, quality_rules, shards
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -67,6 +67,12 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their four-word shingles."""
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the cyclic weights of their sources."""
     sized = _table(spark, sf_dir, "documents").select(
@@ -77,6 +83,7 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_histogram_sort": op3_histogram_sort,
+    "op4_circulant_minhash": op4_circulant_minhash,
     "op5_entropy_mix": op5_entropy_mix,
     "op6_bpe": op6_bpe,
     "op10_quality_rules": op10_quality_rules,
