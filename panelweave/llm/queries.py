@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, minhash, mixing, quality_rules, shards
+from panelweave.llm import bpe, chat_format, minhash, mixing, quality_rules, shards, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -56,6 +56,22 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start twice or more."""
+    docs = _table(spark, sf_dir, "documents")
+    text = text_or_empty()
+    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"),
+                       F.sha2(text, 256).alias("whole_sha256"))
+    cut = suffix_dedup.repeats(docs).select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.size("spans").cast("long").alias("n_spans"),
+        F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("cut_sha256"))
+    joined = base.join(cut, base["doc_id"].eqNullSafe(cut["id"]) & (base["text_hash"] == cut["hash"]), "left")
+    return joined.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+
+
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     text = text_or_empty()
@@ -82,6 +98,7 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_histogram_sort": op3_histogram_sort,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_entropy_mix": op5_entropy_mix,
