@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, minhash, mixing, quality_rules, shards, suffix_dedup
+from panelweave.llm import bpe, chat_format, minhash, mixing, pu_quality, quality_rules, shards, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -29,6 +29,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by positive-unlabelled learning."""
+    docs = _table(spark, sf_dir, "documents")
+    model = pu_quality.train(docs, _table(spark, sf_dir, "labels"))
+    return pu_quality.score(docs, model).select(
+        "doc_id", pu_quality.held_out().alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rules and the verdict of the cascade per document."""
     docs = quality_rules.cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_measures=True)
@@ -103,6 +112,7 @@ QUERIES = {
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_entropy_mix": op5_entropy_mix,
     "op6_bpe": op6_bpe,
+    "op8_pu_quality": op8_pu_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 
