@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, minhash, mixing, pu_quality, quality_rules, shards, suffix_dedup
+from panelweave.llm import bpe, chat_format, html_mincut, minhash, mixing, pu_quality, quality_rules, shards, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -29,6 +29,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_mincut.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by positive-unlabelled learning."""
     docs = _table(spark, sf_dir, "documents")
@@ -112,6 +118,7 @@ QUERIES = {
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_entropy_mix": op5_entropy_mix,
     "op6_bpe": op6_bpe,
+    "op7_html_mincut": op7_html_mincut,
     "op8_pu_quality": op8_pu_quality,
     "op10_quality_rules": op10_quality_rules,
 }
