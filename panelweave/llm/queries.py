@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, html_mincut, minhash, mixing, pu_quality, quality_rules, shards, suffix_dedup
+from panelweave.llm import bpe, chat_format, html_mincut, minhash, mixing, projected_ann, pu_quality, quality_rules, shards, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -44,6 +44,11 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op9_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one."""
+    return projected_ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rules and the verdict of the cascade per document."""
     docs = quality_rules.cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_measures=True)
@@ -120,6 +125,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_html_mincut": op7_html_mincut,
     "op8_pu_quality": op8_pu_quality,
+    "op9_projected_ann": op9_projected_ann,
     "op10_quality_rules": op10_quality_rules,
 }
 
