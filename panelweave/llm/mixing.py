@@ -76,7 +76,7 @@ def solve(sizes: DataFrame, wanted: dict, totals: dict, cap: float, tolerance: f
             break
         now = spark.createDataFrame([(s, lam[s], totals[s][0] / totals[s][1]) for s in sorted(live, key=lambda s: (s is None, s or ""))],
                                     "src string, lam double, mean double")
-        joined = sizes.join(now, F.col("source").eqNullSafe(F.col("src")))
+        joined = sizes.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("src")))
         rate = _rate(F.col("lam"), F.col("size") / F.col("mean"), cap)
         tilted = F.col("n") * F.col("size") * rate
         slope = F.when(rate < cap, tilted * F.col("size") / F.col("mean")).otherwise(0.0)
@@ -125,7 +125,7 @@ def mix(sized: DataFrame, weights=cyclic_weights, cap: int = CAP, most_sources:
     sized: doc_id, source, size (tokens; not null).  Null sources are one source.
     `weights` maps the list of sources to their weights.  A row without tokens has
     rate and copies 1 and adds nothing.  Repeated rows are rounded like other rows.
-    More than most_sources sources raise ValueError, since their weights, one number
+    Tables of one row per source are broadcast.  More than most_sources sources raise ValueError, since their weights, one number
     per source, are held by the driver.
     """
     sized = stage(sized.select("doc_id", "source", F.col("size").cast("long").alias("size")), "mix-sizes")
@@ -140,7 +140,7 @@ def mix(sized: DataFrame, weights=cyclic_weights, cap: int = CAP, most_sources:
     table = sized.sparkSession.createDataFrame(
         [(s, lam[s], t / n if t else 1.0, t, wanted[s], -(-n // BUCKET_ROWS)) for s, (t, n) in totals.items()],
         "src string, lam double, mean double, source_size long, target double, buckets long")
-    rated = sized.join(table, F.col("source").eqNullSafe(F.col("src"))).select(
+    rated = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("src"))).select(
         "doc_id", "source", "size", "source_size", "target",
         _rate(F.col("lam"), F.col("size") / F.col("mean"), cap).alias("rate"),
         F.pmod(F.xxhash64("doc_id", "size"), "buckets").alias("bucket"), F.col("source").alias("origin"))
