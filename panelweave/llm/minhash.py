@@ -232,6 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             now = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
             now = stage(now.join(mixed.select("key"), "key"), "near-open")
+            if now.isEmpty():
+                break
         if turn < PIVOT_ROUNDS:
             pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"),
                             F.col("label").alias("lb"))
