@@ -12,13 +12,13 @@ only equal strings of the full length share one:
    theirs twice are repeats as a whole and are done; so are buckets with one run.
 2. Runs still open are cut into cells of 32 starts and refined by the identifier of
    the text that all starts of the cell share, at offsets before and after the q-gram.
-   Buckets of one go.
+   Buckets of one go; cells whose text under all starts occurs twice are done.
 3. What is left is refined start by start, by the identifier of the whole string.
 
 Each level reuses the buckets of the one before: only members of a surviving bucket
 go on, one member speaking for a class that is done.  Grouping on identifiers stands
 for sorting on them, since only equality matters here; identifiers are 64-bit
-(levels 0-2, always together with the bucket above) and 128-bit (level 3) hashes.
+(levels 0-2, together with the bucket above) and 128-bit (level 3) hashes.
 
 Texts of documents in shared buckets are fetched once; a hot q-gram costs rows,
 never a task that holds its whole bucket.
@@ -112,8 +112,8 @@ def _covers(length: int):
                 for r in runs:
                     r["cover"] = text[r["lo"]:r["lo"] + r["n"] + length - 1]
                 yield pa.RecordBatch.from_pylist(runs, schema=pa.schema(
-                    [("h", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("a", pa.int32()),
-                     ("active", pa.bool_()), ("cover", pa.binary())]))
+                    [("run", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("a", pa.int32()), ("active", pa.bool_()),
+                     ("cover", pa.binary())]))
     return run
 
 
@@ -121,38 +121,44 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _reach(r: dict, j: int) -> tuple[int, int]:
+    """Distances of the q-gram from the starts of a run in one cell."""
+    return max(CELL * j, r["a"] - r["n"] + 1), min(CELL * j + CELL - 1, r["a"])
+
+
 def _cells(length: int):
     def run(batches):
         for batch in batches:
-            h, c, cell, key = [], [], [], []
-            act = []
+            out: list[tuple] = []
             for r in batch.to_pylist():
                 for j in range((r["a"] - r["n"] + 1) // CELL, r["a"] // CELL + 1):
-                    at = r["a"] - CELL * j
-                    core = r["cover"][at:at + length - CELL + 1]
-                    h.append(r["h"]), c.append(r["c"]), cell.append(j), act.append(r["active"])
-                    key.append(_long(xxhash.xxh3_64_intdigest(core, seed=j)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(cell, pa.int32()), pa.array(key, pa.int64()),
-                 pa.array(act, pa.bool_())], names=["h", "c", "cell", "key", "active"])
+                    at, (near, far) = r["a"] - CELL * j, _reach(r, j)
+                    seed = (r["h"] ^ j) & (1 << 64) - 1
+                    core = xxhash.xxh3_64_intdigest(r["cover"][at:at + length - CELL + 1], seed=seed)
+                    whole = xxhash.xxh3_64_intdigest(r["cover"][r["a"] - far:r["a"] - near + length], seed=far)
+                    out.append((r["run"], _long(core), _long(whole), j, near, far, r["active"]))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["run", "core", "whole", "cell", "near", "far", "active"])
     return run
 
 
 def _starts(length: int):
     def run(batches):
         for batch in batches:
-            h, c, offset, one, two, act = [], [], [], [], [], []
+            out: list[tuple] = []
             for r in batch.to_pylist():
-                for j in r["cells"]:
-                    for o in range(max(CELL * j, r["a"] - r["n"] + 1), min(CELL * (j + 1), r["a"] + 1)):
+                for c in r["cells"]:
+                    near, far = _reach(r, c["cell"])
+                    for o in range(near, far + 1):
                         at = r["a"] - o
                         digest = xxhash.xxh3_128_intdigest(r["cover"][at:at + length], seed=o)
-                        h.append(r["h"]), c.append(r["c"]), offset.append(o), act.append(r["active"])
-                        one.append(_long(digest >> 64)), two.append(_long(digest & (1 << 64) - 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(offset, pa.int32()),
-                 pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(act, pa.bool_())],
-                names=["h", "c", "offset", "one", "two", "active"])
+                        out.append((r["run"], o, _long(digest >> 64), _long(digest & (1 << 64) - 1), c["active"]))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["run", "offset", "one", "two", "active"])
     return run
 
 
@@ -197,26 +203,36 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
 
     buckets = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least"))
     open_ = classes.join(buckets.where("k > 1 AND least = 1").select("h"), "h").select(
-        "h", "c", (F.col("m") == 1).alias("active"), "rep.doc_id", "rep.text_hash", "rep.lo", "rep.n", "rep.a")
-    open_ = stage(open_, "suffix-open")
+        "h", (F.col("m") == 1).alias("active"), "rep.doc_id", "rep.text_hash", "rep.lo", "rep.n", "rep.a")
+    # the number of a run is fixed by writing it
+    open_ = stage(open_.withColumn("run", F.monotonically_increasing_id()), "suffix-open")
     spans = stage(whole.distinct(), "suffix-whole")
 
     keys = open_.select("doc_id", "text_hash").union(spans.select("doc_id", "text_hash")).distinct()
     involved = stage(docs.join(keys, _same(docs, keys), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "suffix-texts")
 
-    per_doc = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h", "c", "lo", "n", "a", "active")).alias("runs"))
+    per_doc = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("run", "h", "lo", "n", "a", "active")).alias("runs"))
     covers = stage(involved.join(per_doc, _same(involved, per_doc)).select("text", "runs").mapInArrow(
-        _covers(length), "h long, c long, lo long, n int, a int, active boolean, cover binary"), "suffix-covers")
-    cells = stage(covers.mapInArrow(_cells(length), "h long, c long, cell int, key long, active boolean"), "suffix-cells")
-    met = cells.groupBy("h", "key").agg(F.count(F.lit(1)).alias("k"), F.max("active").alias("any")).where("k > 1 AND any")
-    left = cells.join(met.select("h", "key"), ["h", "key"]).groupBy("h", "c").agg(F.collect_set("cell").alias("cells"))
-    starts = stage(covers.join(left, ["h", "c"]).select("h", "c", "a", "n", "active", "cover", "cells").mapInArrow(
-        _starts(length), "h long, c long, offset int, one long, two long, active boolean"), "suffix-starts")
+        _covers(length), "run long, h long, n int, a int, active boolean, cover binary"), "suffix-covers")
+
+    cells = stage(covers.mapInArrow(
+        _cells(length), "run long, core long, whole long, cell int, near int, far int, active boolean"), "suffix-cells")
+    alike = stage(cells.groupBy("core", "whole").agg(
+        F.count(F.lit(1)).alias("m"), F.min(F.struct("run", "cell", "active")).alias("rep")), "suffix-alike")
+    single = (F.col("m") == 1) & F.col("rep.active")
+    met = alike.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.max(single).alias("any")).where("k > 1 AND any")
+    todo = alike.join(met.select("core"), "core").select("rep.run", F.struct("rep.cell", single.alias("active")).alias("cell"))
+    done = cells.where("active").join(alike.where("m > 1").select("core", "whole"), ["core", "whole"]).select("run", "near", "far")
+
+    left = todo.groupBy("run").agg(F.collect_list("cell").alias("cells"))
+    starts = stage(covers.drop("active").join(left, "run").mapInArrow(
+        _starts(length), "run long, offset int, one long, two long, active boolean"), "suffix-starts")
     equal = starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("k"), F.max("active").alias("any")).where("k > 1 AND any")
+    same = starts.where("active").join(equal.select("one", "two"), ["one", "two"]).select(
+        "run", F.col("offset").alias("near"), F.col("offset").alias("far"))
     # all strings of a run hold its q-gram, so their union is one range
-    ranges = starts.where("active").join(equal.select("one", "two"), ["one", "two"]).groupBy("h", "c").agg(
-        F.min("offset").alias("near"), F.max("offset").alias("far"))
-    partial = open_.join(ranges, ["h", "c"]).select(
+    ranges = done.unionAll(same).groupBy("run").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    partial = open_.join(ranges, "run").select(
         "doc_id", "text_hash", (F.col("lo") + F.col("a") - F.col("far")).alias("lo"),
         (F.col("lo") + F.col("a") - F.col("near") + length).alias("hi"))
 
