@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.columns import mixed_integer
 
 
+def common_days(losses: DataFrame) -> DataFrame:
+    """The losses of the days on which every model has one."""
+    models = losses.agg(F.count_distinct("model")).scalar()
+    full = losses.filter("loss IS NOT NULL").groupBy("day").agg(F.count_distinct("model").alias("n")).withColumn("models", models)
+    return losses.join(full.filter("n = models").select("day"), "day", "left_semi")
+
+
 def bootstrap_means(losses: DataFrame, reps: int = 2000, block: int = 5, seed: int = 1) -> DataFrame:
     """(rep, model, mean_loss) over moving blocks of days with wrap-around.
 
-    `losses` is (model, day, loss), every model on the same days.  The sum of a
+    `losses` is (model, day, loss); days that a model lacks are left out for all.  The sum of a
     block is computed once per start day; a replication then adds up n/block
     sums instead of n losses.  Block starts follow an integer congruential
     rule, so a run can be repeated anywhere.
     """
+    losses = common_days(losses)
     numbered = losses.withColumn("t", F.row_number().over(Window.partitionBy("model").orderBy("day")) - 1)
     n_days = losses.agg(F.count_distinct("day").cast("int")).scalar()
     spark = losses.sparkSession
@@ -45,7 +53,7 @@ def mcs(losses: DataFrame, reps: int = 2000, block: int = 5, seed: int = 1, leve
     The elimination sees a table of reps x models numbers, whatever the length
     of the series; p is the running maximum over the order of elimination.
     """
-    means = losses.groupBy("model").agg(F.avg("loss").alias("mean_loss"))
+    means = common_days(losses).groupBy("model").agg(F.avg("loss").alias("mean_loss"))
     boot = bootstrap_means(losses, reps, block, seed).unionByName(
         means.select(F.lit(-1).alias("rep"), "model", "mean_loss"))
 

@@ -8,7 +8,7 @@ models) are null rather than an error.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import log10_normal_tail
@@ -156,10 +156,12 @@ def dfl_loss(variance: DataFrame, turnover: DataFrame, eta: float = 1e-4) -> Dat
 
 
 def compare(*tables: DataFrame, rank_by: str = "mse") -> DataFrame:
-    """Metric tables joined by model, with the rank by one metric."""
+    """Metric tables joined by model, with the rank by one metric.
+
+    The first table names the models; a metric another lacks is null."""
     out = tables[0]
     for other in tables[1:]:
-        out = out.join(other, "model")
+        out = out.join(other, "model", "left")
     # one row per model: the only global window in this module
     return out.withColumn(f"{rank_by}_rank", F.rank().over(Window.orderBy(rank_by)))
 
@@ -171,12 +173,15 @@ def sparsity(coefs: DataFrame, n_assets: int, n_features: int, keys: tuple[str,
         alive.alias("n_alive"), (1 - alive / F.lit(float(n_assets * n_features))).alias("sparsity"))
 
 
-def effective_ratio(coefs: DataFrame, n_train: int, keys: tuple[str, ...] = ("model",)) -> DataFrame:
-    """Non-zeros per equation and observations per effective parameter."""
+def effective_ratio(coefs: DataFrame, n_train: int | Column, keys: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Non-zeros per equation and observations per effective parameter.
+
+    n_train may be a column of the keys, such as one number per fold."""
+    n_train = n_train if isinstance(n_train, Column) else F.lit(n_train)
     alive = F.count_if((F.col("pos") > 0) & (F.col("beta") != 0))
     per_eq = alive / F.count_distinct("asset")
     return coefs.groupBy(*keys).agg(per_eq.alias("per_equation"),
-                                    (F.lit(float(n_train)) / F.when(per_eq > 0, per_eq)).alias("t_over_p"))
+                                    (F.first(n_train).cast("double") / F.when(per_eq > 0, per_eq)).alias("t_over_p"))
 
 
 def ablation(metrics: DataFrame, full: str, value: str = "net_sharpe") -> DataFrame:
@@ -196,19 +201,12 @@ def improvement(metrics: DataFrame, ref: str, value: str = "mse") -> DataFrame:
 def describe_weights(weights: DataFrame) -> DataFrame:
     """Moments and quantiles of w, one row per statistic.
 
-    Skewness and kurtosis come from power sums (population moments)."""
-    m = {k: F.avg(F.pow("w", k)) for k in (1, 2, 3, 4)}
-    sums = weights.agg(F.count(F.lit(1)).cast("double").alias("n"), *[v.alias(f"m{k}") for k, v in m.items()],
-                       F.stddev_samp("w").alias("sd"), F.min("w").alias("min"), F.max("w").alias("max"),
+    Skewness and kurtosis are population moments, kurtosis not reduced by 3."""
+    sums = weights.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("w").alias("mean"),
+                       F.skewness("w").alias("skewness"), (F.kurtosis("w") + 3).alias("kurtosis"), F.stddev_samp("w").alias("sd"), F.min("w").alias("min"), F.max("w").alias("max"),
                        F.percentile("w", F.lit(0.25)).alias("p25"), F.percentile("w", F.lit(0.5)).alias("p50"),
                        F.percentile("w", F.lit(0.75)).alias("p75"))
-    var = F.col("m2") - F.pow("m1", 2)
-    third = F.col("m3") - 3 * F.col("m1") * F.col("m2") + 2 * F.pow("m1", 3)
-    fourth = (F.col("m4") - 4 * F.col("m1") * F.col("m3") + 6 * F.pow("m1", 2) * F.col("m2")
-              - 3 * F.pow("m1", 4))
-    wide = sums.select(F.col("m1").alias("mean"), "n", "sd", "min", "max", "p25", "p50", "p75",
-                       F.try_divide(third, F.pow(var, 1.5)).alias("skewness"),
-                       F.try_divide(fourth, F.pow(var, 2)).alias("kurtosis"))
+    wide = sums.select("mean", "n", "sd", "min", "max", "p25", "p50", "p75", "skewness", "kurtosis")
     return wide.unpivot([], wide.columns, "statistic", "value")
 
 

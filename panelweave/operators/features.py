@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def index_days(panel: DataFrame) -> DataFrame:
-    """Add t = 0, 1, ... per asset.  On a dense panel t is the same for all assets,
-    so no window over the whole table is needed."""
-    w = Window.partitionBy("asset").orderBy("day")
-    return panel.withColumn("t", F.row_number().over(w) - 1)
+    """Add t = 0, 1, ... of the panel's calendar, the same for all assets also where one misses a day."""
+    # the only global window: one row per day
+    days = panel.select("day").distinct().withColumn("t", F.row_number().over(Window.orderBy("day")) - 1)
+    return panel.join(days, "day")
 
 
 def trailing_means(panel: DataFrame, windows: dict[str, int], full: int) -> DataFrame:
@@ -23,10 +23,17 @@ def trailing_means(panel: DataFrame, windows: dict[str, int], full: int) -> Data
 
 
 def lag_features(weights: DataFrame, p: int) -> DataFrame:
-    """(t, day, lag, name, v) for lags 1..p, long; days without p lags are dropped."""
-    w = Window.partitionBy("asset").orderBy("day")
-    lags = F.array(*[F.struct(F.lit(l).alias("lag"), F.lag("w", l).over(w).alias("v"))
-                     for l in range(1, p + 1)])
+    """(t, day, lag, name, v) for lags 1..p of the calendar, long; days without p lags are dropped.
+
+    The lag of a day the asset misses is null."""
+    w = Window.partitionBy("asset").orderBy("t")
+
+    def lagged(l):
+        # of the last p rows, the one that is l days old
+        back = [F.when(F.lag("t", k).over(w) == F.col("t") - l, F.lag("w", k).over(w)) for k in range(1, l + 1)]
+        return F.struct(F.lit(l).alias("lag"), F.coalesce(*back).alias("v"))
+
+    lags = F.array(*[lagged(l) for l in range(1, p + 1)])
     return (index_days(weights).select("t", "day", F.col("asset").alias("name"), lags.alias("lags"))
             .filter(F.col("t") >= p).select("t", "day", "name", F.inline("lags"))
             .select("t", "day", "lag", "name", "v"))

@@ -162,6 +162,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
         cross = (c0[1:] / n - np.outer(mean, y_mean)) / sd[:, None]
         asset = np.arange(layout.n_lagged) % k
         own = asset[:, None] == np.arange(lo, lo + m)[None, :]
+        other = np.arange(k)[:, None] != np.arange(lo, lo + m)[None, :]
 
         out, beta = [], np.zeros((p, m))
         for c in paths[path]:
@@ -181,7 +182,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
             raw = beta / sd[:, None]
             icept = y_mean - mean @ raw
             took = (time.perf_counter() - began) / m
-            linked = (link >= c.tau).mean() if c.tau is not None else None
+            linked = (link >= c.tau)[other].mean() if c.tau is not None and k > 1 else None
             for e in range(m):
                 pos = np.flatnonzero(raw[:, e])
                 out.append((c.model, c.config_id, fold, lo + e, icept[e], (pos + 1).tolist(),
@@ -205,7 +206,11 @@ def coefficients(fitted: DataFrame, assets: DataFrame) -> DataFrame:
 def predict(long: DataFrame, coefs: DataFrame, normalise: bool = True) -> DataFrame:
     """F8: (model, config_id, fold, t, day, asset, w_hat) from a sparse join on position.
 
-    `long` is (fold, t, day, pos, v); only non-zero coefficients meet the data."""
+    `long` is (fold, t, day, pos, v); only non-zero coefficients meet the data.  Days
+    that lack a position, or have a null there, get no forecast, as they take no part in fits."""
+    width = long.agg(F.max("pos")).scalar()
+    whole = long.groupBy("fold", "t", "day").agg(F.count("v").alias("n")).withColumn("width", width)
+    long = long.join(whole.filter("n = width").select("fold", "t", "day"), ["fold", "t", "day"], "left_semi")
     ones = long.select("fold", "t", "day").distinct().select(
         "fold", "t", "day", F.lit(0).alias("pos"), F.lit(1.0).alias("v"))
     out = (long.select("fold", "t", "day", "pos", "v").unionByName(ones)
@@ -226,12 +231,17 @@ def validation_rows(long: DataFrame, cuts: Sequence[int], horizon: int) -> DataF
 RUN = ("model", "config_id", "fold")
 
 
-def fold_metrics(pred: DataFrame, fitted: DataFrame, weights: DataFrame, layout: Layout) -> DataFrame:
-    """F10, first level: accuracy, turnovers, sparsity and seconds per config and fold."""
+def fold_metrics(pred: DataFrame, fitted: DataFrame, weights: DataFrame, layout: Layout,
+                 configs: Sequence[Config] = ()) -> DataFrame:
+    """F10, first level: accuracy, turnovers, sparsity and seconds per config and fold.
+
+    Models without exogenous columns have fewer coefficients to be zero."""
+    narrow = [f"{c.model}|{c.config_id}" for c in configs if c.lam_exog is None]
+    width = F.when(F.concat_ws("|", "model", "config_id").isin(narrow), layout.n_lagged).otherwise(layout.p)
     size = fitted.groupBy(*RUN).agg(
         F.sum(F.size("pos")).cast("double").alias("n_alive"), F.avg("density").alias("density"),
         F.sum("seconds").alias("fit_time_s"),
-        (1 - F.sum(F.size("pos")) / F.lit(float(layout.n_assets * layout.p))).alias("sparsity"))
+        (1 - F.sum(F.size("pos")) / (layout.n_assets * F.first(width)).cast("double")).alias("sparsity"))
     return (accuracy(pred, weights, RUN).withColumnRenamed("mse", "val_mse")
             .join(turnover_econ(pred, weights, RUN), list(RUN))
             .join(turnover_seq(pred, RUN), list(RUN))
@@ -264,7 +274,7 @@ def backtest(rows: DataFrame, long: DataFrame, weights: DataFrame, assets: DataF
     """
     fitted = stage(fit(moments(rows, cuts), configs, layout, links), "fits")
     pred = stage(predict(validation_rows(long, cuts, horizon), coefficients(fitted, assets)), "forecasts")
-    return fold_metrics(pred, fitted, weights, layout)
+    return fold_metrics(pred, fitted, weights, layout, configs)
 
 
 def grid_search(rows: DataFrame, long: DataFrame, weights: DataFrame, assets: DataFrame, configs: Sequence[Config],

@@ -121,17 +121,21 @@ def rolling_network_mean(e: DataFrame, solved_days: DataFrame, window: int = 20)
 
 
 def network_mask(abar: DataFrame, tau: float = 0.7, use_last_day: bool = False,
-                 before: int | None = None) -> DataFrame:
+                 before: int | None = None, calendar: DataFrame | None = None) -> DataFrame:
     """Pairs (i, j, p) with p >= tau, p from the last day or averaged over all days.
 
-    `before` keeps only days t < before, so that a fold sees no later network.
-    A pair absent on a day counts as 0."""
+    `calendar` holds a row `t` for every day with a network mean.  abar has rows for
+    linked pairs only, so a day without any link is known from the calendar alone; it
+    counts with p = 0 in the average, and as last day it leaves no pair.  Without a
+    calendar the days of abar are taken.  `before` keeps only days t < before, so
+    that a fold sees no later network."""
+    days = abar if calendar is None else calendar
     if before is not None:
-        abar = abar.filter(F.col("t") < before)
+        abar, days = abar.filter(F.col("t") < before), days.filter(F.col("t") < before)
     if use_last_day:
-        last = abar.agg(F.max("t")).scalar()
+        last = days.agg(F.max("t")).scalar()
         pairs = abar.withColumn("last", last).filter(F.col("t") == F.col("last")).select("i", "j", "p")
     else:
-        n = abar.agg(F.count_distinct("t")).scalar()
+        n = days.agg(F.count_distinct("t")).scalar()
         pairs = abar.groupBy("i", "j").agg(F.sum("p").alias("p")).withColumn("p", F.col("p") / n)
     return pairs.filter(F.col("p") >= tau)

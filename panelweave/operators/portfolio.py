@@ -101,8 +101,12 @@ def box(pred: DataFrame, lim: float = 0.05, rounds: int = 10, keys: tuple[str, .
     """Clip to +-lim and hand the missing total to the assets still inside, `rounds` times.
 
     Every round sums over the same partition (one day of one model, K rows), so
-    the whole chain needs one shuffle."""
+    the whole chain needs one shuffle.  A day whose assets cannot add up to 1 within
+    the limits stops the job."""
     day = Window.partitionBy(*keys)
+    room = F.count(F.lit(1)).over(day) * lim
+    pred = pred.withColumn("w_hat", F.when(room >= 1 - 1e-9, F.col("w_hat")).otherwise(
+        F.raise_error(F.lit(f"assets within +-{lim} cannot add up to 1")).cast("double")))
 
     def clip(x):
         return F.greatest(F.lit(-lim), F.least(F.lit(lim), x))

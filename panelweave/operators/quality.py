@@ -28,14 +28,15 @@ def day_count(panel: DataFrame, expected: int) -> DataFrame:
 def check_shape(returns: DataFrame, k: int, m: int | Column) -> DataFrame:
     """B2: assets, bars and rows of each day against the expected K x M.
 
-    The cells are counted as rows after the (day, asset, bar) grouping that
-    distinct counts need anyway."""
+    Cells are grouped first, so a doubled cell cannot stand in for a missing one."""
     m = m if isinstance(m, Column) else F.lit(m)
-    counts = returns.groupBy("day").agg(F.count_distinct("asset").alias("n_assets"),
-                                        F.count_distinct("bar").alias("n_bars"),
-                                        F.count(F.lit(1)).alias("n_cells"))
+    cells = returns.groupBy("day", "asset", "bar").agg(F.count(F.lit(1)).alias("rows"))
+    counts = cells.groupBy("day").agg(F.count_distinct("asset").alias("n_assets"),
+                                      F.count_distinct("bar").alias("n_bars"), F.sum("rows").alias("n_cells"),
+                                      F.count(F.lit(1)).alias("n_filled"))
     return counts.withColumn("ok", (F.col("n_assets") == k) & (F.col("n_bars") == m)
-                             & (F.col("n_cells") == F.col("n_assets") * F.col("n_bars")))
+                             & (F.col("n_filled") == F.col("n_assets") * F.col("n_bars"))
+                             & (F.col("n_cells") == F.col("n_filled"))).drop("n_filled")
 
 
 def check_missing(df: DataFrame, column: str, *keys: str) -> DataFrame:

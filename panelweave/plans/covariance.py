@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import covariance as cv
 from ..operators import network as nw
+from ..operators import quality as q
 from ..operators import penalty as pn
 from ..sources import bindings as b
 from ..sources.scratch import stage
@@ -128,8 +129,10 @@ def _abar(spark, sf):
 
 
 def _mask(spark, sf, use_last_day=False):
-    abar = nw.rolling_network_mean(brand_edges(spark, sf), months(spark, sf))
-    return nw.network_mask(stage(abar, "abar"), 0.3, use_last_day).select("i", "j", *r("p", digits=9))
+    days = months(spark, sf)
+    abar = nw.rolling_network_mean(brand_edges(spark, sf), days)
+    calendar = q.day_index(days).filter("t >= 19")
+    return nw.network_mask(stage(abar, "abar"), 0.3, use_last_day, calendar=calendar).select("i", "j", *r("p", digits=9))
 
 
 def _scan(spark, sf):
@@ -247,10 +250,10 @@ SELECT day, node, round(CASE WHEN degree > 1 THEN coalesce(twice, 0)::DOUBLE / (
        AS clustering FROM deg LEFT JOIN tri USING (day, node)""",
     "c11_rolling_network": f"WITH {_ABAR} SELECT day, i, j, round(p::DOUBLE, 7) AS p FROM abar",
     "c12_network_mask": f"""
-WITH {_ABAR}, x AS (SELECT i, j, sum(p)::DOUBLE / (SELECT count(DISTINCT t) FROM abar) AS p FROM abar GROUP BY 1, 2)
+WITH {_ABAR}, x AS (SELECT i, j, sum(p)::DOUBLE / (SELECT count(*) FROM t WHERE t >= 19) AS p FROM abar GROUP BY 1, 2)
 SELECT i, j, round(p, 9) AS p FROM x WHERE p >= 0.3""",
     "c12_network_mask_last_day": f"""
-WITH {_ABAR} SELECT i, j, round(p::DOUBLE, 9) AS p FROM abar WHERE t = (SELECT max(t) FROM abar) AND p >= 0.3""",
+WITH {_ABAR} SELECT i, j, round(p::DOUBLE, 9) AS p FROM abar WHERE t = (SELECT max(t) FROM t) AND p >= 0.3""",
     "c13_lambda_scan": f"""
 WITH {PAIR_PREC},
 nx AS (SELECT *, lead(day) OVER (ORDER BY day) AS next FROM m),

@@ -22,7 +22,7 @@ from .covariance import _EDGES, brand_edges, months, r, type_cov
 from .models import _SINGLE, CUTS, equations, single_fit
 from .sqltext import cov_cte, predictions_cte, trade_returns_cte, weights_cte
 
-ETA, REPS, BLOCK, SEED = 1e-2, 500, 5, 1
+ETA, REPS, BLOCK, SEED = 1e-2, 2000, 5, 1
 GRID_CUTS, GRID_H = [120, 200, 280], 40
 WINDOWS, TAUS = [4, 8, 16], [0.0, 0.25, 0.5]
 
@@ -67,7 +67,7 @@ def _sparsity(spark, sf):
 
 
 def _effective(spark, sf):
-    return ev.effective_ratio(_coefs(spark, sf), CUTS[0], KEYS).select(*KEYS, *r("per_equation", "t_over_p"))
+    return ev.effective_ratio(_coefs(spark, sf), F.get(F.array(*map(F.lit, CUTS)), F.col("fold")), KEYS).select(*KEYS, *r("per_equation", "t_over_p"))
 
 
 def _turn_seq(spark, sf):
@@ -378,7 +378,7 @@ WITH {_SINGLE} SELECT model, config_id, fold, count(*) FILTER (slope <> 0) AS n_
     "g04_effective_ratio": f"""
 WITH {_SINGLE}, n AS (SELECT model, config_id, fold, count(*) FILTER (slope <> 0) / 6.0::DOUBLE AS per FROM coef GROUP BY ALL)
 SELECT model, config_id, fold, round(per, 7) AS per_equation,
-       round({CUTS[0]} / CASE WHEN per > 0 THEN per END, 7) AS t_over_p FROM n""",
+       round([{", ".join(map(str, CUTS))}][fold + 1] / CASE WHEN per > 0 THEN per END, 7) AS t_over_p FROM n""",
     "g05_turnover_sequential": f"""
 WITH {WEEKLY} SELECT model, round(avg(turnover), 9) AS turnover_seq FROM moves GROUP BY model""",
     "g06_turnover_economic": f"""

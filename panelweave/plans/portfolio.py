@@ -16,7 +16,7 @@ from .covariance import (_PAIR_COV, EXACT, LAM, PAIR, PAIR_PREC, PIVOT, SOLVE, W
                          r, type_cov)
 from .sqltext import cov_cte, predictions_cte, trade_returns_cte, weights_cte
 
-LIM, ROUNDS = 0.17, 4
+LIM, ROUNDS = 0.17, 10
 ETA, RHO = 0.3, 0.7
 
 

@@ -30,20 +30,22 @@ def read_returns(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A1: daily files -> (day, bar, asset, ret); the day comes from the path of the file.
 
     'csv': one line per asset, its name and then one return per bar (days may
-    differ in length). 'parquet': rows (bar, asset, ret).  A file is a whole day,
+    differ in length). 'parquet': rows (bar, asset, ret).  What cannot be read stays as
+    a null for the checks (B2, B3) and the failed days (A8): the day of a file without
+    a date in its name, a malformed return, and bar and return of a line that is a name only.  A file is a whole day,
     so a filter on day becomes a filter on files once the cache (A2) is written.
     """
     place = F.url_decode(F.col("_metadata.file_path"))
     part = [F.regexp_extract(place, DAY_IN_NAME, k) for k in (1, 2, 3)]
-    day = F.to_date(F.concat_ws("-", *part)).alias("day")
+    day = F.try_to_timestamp(F.concat_ws("-", *part)).cast("date").alias("day")
     if fmt == "parquet":
         return spark.read.schema("bar int, asset string, ret double").option("recursiveFileLookup", "true").parquet(
             path).select(day, "bar", "asset", "ret")
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    cells = lines.select(day, F.split("value", ",").alias("c")).filter(F.size("c") > 1)
+    cells = lines.select(day, F.split("value", ",").alias("c")).filter(F.trim(F.col("c")[0]) != "")
     return cells.select("day", F.col("c")[0].alias("asset"),
-                        F.posexplode(F.slice("c", 2, F.size("c") - 1)).alias("bar", "ret")).select(
-        "day", "bar", "asset", F.col("ret").cast("double").alias("ret"))
+                        F.posexplode_outer(F.slice("c", 2, F.size("c") - 1)).alias("bar", "ret")).select(
+        "day", "bar", "asset", F.col("ret").try_cast("double").alias("ret"))
 
 
 def cache_returns(returns: DataFrame, path: str, bar_block: int = 4096) -> None:

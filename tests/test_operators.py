@@ -489,3 +489,70 @@ def test_vanishing_denominators_give_null(spark):
     port = losses.withColumnRenamed("loss", "ret")
     flat = ev.sharpe(port, port.select("model", "day", F.lit(0.0).alias("turnover")))
     assert {r["sharpe"] for r in flat.collect()} == {None}
+
+
+def test_network_mask_counts_days_without_links(spark):
+    from panelweave.operators import network as nw
+    days = spark.sql("SELECT date_add(DATE '2020-01-01', CAST(id AS INT)) AS day, CAST(id AS INT) AS t FROM range(10)")
+    edges = days.filter("t < 2").selectExpr("day", "'a' AS i", "'b' AS j")
+    abar = nw.rolling_network_mean(edges, days, window=2)
+    calendar = days.filter("t >= 1")
+    p = nw.network_mask(abar, 0.0, calendar=calendar).first()["p"]
+    assert abs(p - 1.5 / 9) < 1e-12
+    assert nw.network_mask(abar, 0.0, True, calendar=calendar).count() == 0
+
+
+def test_shape_sees_a_doubled_cell_beside_a_hole(spark):
+    from panelweave.operators import quality as q
+    rows = [("2020-01-01", a, b) for a, b in (("a", 0), ("b", 0), ("a", 1), ("a", 1))]
+    df = spark.createDataFrame(rows, "day string, asset string, bar int")
+    assert [r["ok"] for r in q.check_shape(df, 2, 2).collect()] == [False]
+
+
+def test_lags_follow_the_calendar(spark):
+    from panelweave.operators import features as ft
+    rows = [(d, a, float(d * 10 + (a == "y"))) for d in range(4) for a in "xy" if (d, a) != (1, "y")]
+    df = spark.createDataFrame(rows, "d int, asset string, w double").selectExpr(
+        "date_add(DATE '2020-01-01', d) AS day", "asset", "w")
+    got = {(r["t"], r["name"], r["lag"]): r["v"] for r in ft.lag_features(df, 2).collect()}
+    assert got[2, "y", 1] is None and got[2, "y", 2] == 1.0
+    assert got[3, "y", 1] == 21.0 and got[3, "y", 2] is None and got[3, "x", 2] == 10.0
+
+
+def test_bootstrap_uses_common_days(spark):
+    from panelweave.operators.confidence_set import bootstrap_means
+    rows = [(m, f"2020-01-{d:02d}", 1.0) for m in "ab" for d in range(1, 11) if m == "a" or d < 9]
+    got = bootstrap_means(spark.createDataFrame(rows, "model string, day string, loss double"), reps=20).collect()
+    assert len(got) == 40 and all(abs(r["mean_loss"] - 1) < 1e-12 for r in got)
+
+
+def test_box_that_cannot_hold_stops(spark):
+    from panelweave.operators import portfolio as pf
+    df = spark.createDataFrame([("m", 1, a, 0.2) for a in "abcde"], "model string, day int, asset string, w_hat double")
+    with pytest.raises(Exception, match="cannot add up to 1"):
+        pf.box(df).collect()
+    assert abs(sum(r["w_hat"] for r in pf.box(df, 0.3).collect()) - 1) < 1e-12
+
+
+def test_incomplete_days_get_no_forecast(spark):
+    from panelweave.operators.fit import predict
+    long = spark.createDataFrame([(0, t, t, p, v) for t, p, v in ((1, 1, 1.0), (1, 2, 2.0), (2, 1, 1.0), (3, 1, 1.0), (3, 2, None))],
+                                 "fold int, t int, day int, pos int, v double")
+    coefs = spark.createDataFrame([("m", 1, 0, "a", 0, 0.1), ("m", 1, 0, "a", 1, 0.2), ("m", 1, 0, "a", 2, 0.2)],
+                                  "model string, config_id int, fold int, asset string, pos int, beta double")
+    assert [(r["t"], round(r["w_hat"], 9)) for r in predict(long, coefs, normalise=False).collect()] == [(1, 0.7)]
+
+
+def test_comparison_keeps_models_without_a_metric(spark):
+    from panelweave.operators import evaluate as ev
+    a = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "model string, mse double")
+    b = spark.createDataFrame([("n", 0.5)], "model string, dm double")
+    assert {(r["model"], r["dm"]) for r in ev.compare(a, b).collect()} == {("m", None), ("n", 0.5)}
+
+
+def test_malformed_return_files_are_read_as_nulls(spark, tmp_path):
+    from panelweave.sources.files import read_returns
+    (tmp_path / "2020_01_02_1min_log_return.csv").write_text("a,0.1,bad\nb\n")
+    (tmp_path / "9999_99_99_1min_log_return.csv").write_text("a,0.3\n")
+    got = {(str(r["day"]), r["asset"], r["bar"], r["ret"]) for r in read_returns(spark, str(tmp_path)).collect()}
+    assert got == {("2020-01-02", "a", 0, 0.1), ("2020-01-02", "a", 1, None), ("2020-01-02", "b", None, None), ("None", "a", 0, 0.3)}
