@@ -12,10 +12,15 @@ similarity 0.8 shares no band with odds of 4e-7.
 4. Confirmed links give components.  Buckets that still hold several components take
    part in further rounds with other pivots.
 5. Classes still in such buckets are banded anew from the same signatures, in 160
-   bands of 8 coordinates, which part texts that merely share a passage.  There every
-   pair that lies in two components and has not been compared is compared.  A pair of
-   similarity 0.8 is missed there with odds of about 3e-6.  Pairs inside one component
-   are left out, so a group of near copies never gives all its pairs.
+   bands of 8 coordinates, which part texts that merely share a passage.  A pair of
+   similarity 0.8 is missed there with odds of about 3e-6.
+6. Shingles that no other class of those buckets has cannot be shared, and parities of
+   the others in 256 cells count differences, so both bound the similarity of a pair from
+   above, exactly.  The class with the smallest share of shingles of its own is
+   its bucket's next pivot: copies with edits of their own link to the text they stem from.
+7. Then every pair that lies in two components, has not been compared and could reach
+   the similarity by those bounds is compared.  Pairs inside one component are left out,
+   so a group of near copies never gives all its pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ GROUP_BYTES = 400_000
 PIECE_BYTES = 4_000_000
 PIVOT_ROUNDS = 2
 LONG_BANDS, LONG_ROWS = 160, 8
+WORDS = 4  # of 64 parities
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CUT = re.compile(rb"[\x20\x09-\x0d]")
@@ -140,6 +146,13 @@ def signatures(shingle: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def parities(shingle: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each cell, named by the top eight bits, holds an odd number of a set's shingles; WORDS words per set."""
+    cell = np.repeat(np.arange(len(n)) * 64 * WORDS, n) + (shingle >> np.uint64(56)).astype("i8")
+    odd = np.bincount(cell, minlength=len(n) * 64 * WORDS).astype("u1") & 1
+    return np.packbits(odd.reshape(len(n), -1), axis=1, bitorder="little").view("<i8")
+
+
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     cut = signature.reshape(len(signature), bands, rows).astype("u8")
     keys = np.arange(bands, dtype="u8") * _MIX[4]
@@ -177,12 +190,13 @@ def _sketch(width: int):
     def run(batches):
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            nodes, sizes, bands, marks = [], [], [], []
+            nodes, sizes, bands, marks, odd = [], [], [], [], []
             for group in _grouped(texts):
                 shingle, n = shingle_sets(group, width)
                 ends = np.cumsum(n)
                 nodes += [xxhash.xxh3_128_digest(shingle[e - c:e].tobytes()) if c else None for e, c in zip(ends, n)]
                 sizes.append(n)
+                odd.append(parities(shingle, n))
                 signature = signatures(shingle, n, BANDS * ROWS)
                 keys, marked = iter(band_keys(signature).view("i8")), iter(signature.view("i4"))
                 bands += [next(keys) if c else None for c in n]
@@ -190,8 +204,10 @@ def _sketch(width: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()),
                  pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array(marks, pa.list_(pa.int32()))],
-                names=["doc_id", "text_hash", "node", "n", "bands", "signature"])
+                 pa.array(marks, pa.list_(pa.int32())),
+                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(odd).ravel() if odd else [], pa.int64()), WORDS).cast(
+                     pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "node", "n", "bands", "signature", "parity"])
     return run
 
 
@@ -211,17 +227,92 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text: one text of each class."""
+    keys = classes.join(nodes, "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
+    found = docs.join(keys, docs["doc_id"].eqNullSafe(keys["id"]) & (F.xxhash64(docs["text"]) == keys["hash"]))
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
 def _with_texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b and one text of each class."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = classes.join(needed, "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
-    found = docs.join(keys, docs["doc_id"].eqNullSafe(keys["id"]) & (F.xxhash64(docs["text"]) == keys["hash"]))
-    texts = stage(found.select("node", "text").dropDuplicates(["node"]), "near-texts")
+    texts = stage(_texts(needed, classes, docs), "near-texts")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
 
 
+def _flat_sets(width: int):
+    """shingle, and the two halves of the digest of the class that has it."""
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            halves = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            first = 0
+            for group in _grouped(texts):
+                shingle, n = shingle_sets(group, width)
+                owner = np.repeat(halves[first:first + len(group)], n, axis=0)
+                first += len(group)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view("i8")), pa.array(owner[:, 0]), pa.array(owner[:, 1])],
+                                                 names=["shingle", "one", "two"])
+    return run
+
+
+def _split_digest(batches):
+    for batch in batches:
+        halves = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                                         names=["node", "one", "two"])
+
+
+def _bounds(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, own, parity: how many shingles of each class no other has, and the parities of the others."""
+    flat = _texts(nodes, classes, docs).mapInArrow(_flat_sets(width), "shingle long, one long, two long")
+    # where the count is 1, the greatest halves are those of the only class
+    alone = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.max("one").alias("one"), F.max("two").alias("two"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(shingle, 56) & 63 as int))")
+    word = F.expr("shiftrightunsigned(shingle, 62)")
+    own = alone.where("c = 1").groupBy("one", "two").agg(
+        F.count(F.lit(1)).alias("own"),
+        *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
+    parts = nodes.mapInArrow(_split_digest, "node binary, one long, two long").join(own, ["one", "two"], "left")
+    rest = [F.get("parity", F.lit(k)).bitwiseXOR(F.coalesce(f"w{k}", F.lit(0).cast("long"))) for k in range(WORDS)]
+    return parts.join(classes.select("node", "parity"), "node").select(
+        "node", F.coalesce("own", F.lit(0).cast("long")).alias("own"), F.array(*rest).alias("parity"))
+
+
+def _mixed_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold two components or more, with their labels."""
+    rows = rows.drop("label")
+    if labels is None:
+        now = rows.withColumn("label", F.col("node"))
+    else:
+        now = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return stage(now.join(mixed.select("key"), "key"), "near-open")
+
+
+def _pairs(rows: DataFrame, percent: int, order=None) -> DataFrame:
+    """a < b: each class of a bucket with its bucket's pivot, the least in `order`; without an order all with all.
+
+    Only classes of two components meet, and only if `own` and `parity` allow the similarity.
+    """
+    mark = F.struct("node", "n", "label", "own", "parity")
+    mine, other = rows.select("key", mark.alias("a")), rows.select("key", mark.alias("b"))
+    if order is not None:
+        other = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), mark.alias("b"))).alias("p")).select("key", "p.b")
+    odd = [F.coalesce(F.bit_count(F.get("a.parity", F.lit(k)).bitwiseXOR(F.get("b.parity", F.lit(k)))), F.lit(0)) for k in range(WORDS)]
+    uneven = F.abs(F.col("a.n") - F.col("a.own") - F.col("b.n") + F.col("b.own"))
+    # the least number of shingles that one of the two lacks
+    apart = F.col("a.own") + F.col("b.own") + F.greatest(uneven, sum(odd[1:], odd[0]).cast("long"))
+    size = F.col("a.n") + F.col("b.n")
+    reach = (size - apart) * 100 >= (size + apart) * percent
+    met = F.col("a.node") != F.col("b.node") if order is not None else F.col("a.node") < F.col("b.node")
+    pairs = mine.join(other, "key").where(met & (F.col("a.label") != F.col("b.label")) & reach)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs.
 
@@ -236,45 +327,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketch = stage(keyed.mapInArrow(
-        _sketch(width), "doc_id long, text_hash long, node binary, n long, bands array<long>, signature array<int>"), "near-sketch")
+        _sketch(width), "doc_id long, text_hash long, node binary, n long, bands array<long>, signature array<int>, parity array<long>"), "near-sketch")
     rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     classes = stage(sketch.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(rep).alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-classes")
-    rows = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    rows = stage(rows.join(shared, "key"), "near-buckets")
-
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        F.min(rep).alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"),
+        F.first("parity").alias("parity")), "near-classes")
     tried = links = labels = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            now = rows.withColumn("label", F.col("node"))
-        else:
-            now = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-            now = stage(now.join(mixed.select("key"), "key"), "near-open")
-            if now.isEmpty():
-                break
-        if turn < PIVOT_ROUNDS:
-            pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"),
-                            F.col("label").alias("lb"))
-            pivots = now.groupBy("key").agg(F.min(pick).alias("p")).select("key", "p.b", "p.nb", "p.lb")
-        else:
-            open_ = classes.join(now.select("node", "label").distinct(), "node").select("node", "n", "label", "signature")
-            now = open_.mapInArrow(_reband, "node binary, n long, label binary, key long")
-            mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-            now = stage(now.join(mixed.select("key"), "key"), "near-long")
-            pivots = now.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        mine = now.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        pairs = mine.join(pivots, "key").where((F.col("a") != F.col("b")) & (F.col("la") != F.col("lb")) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def link(pairs: DataFrame) -> None:
+        """Confirm pairs that have not been tried and bring the labels up to date."""
+        nonlocal tried, links, labels
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
         if pairs.isEmpty():
-            if turn < PIVOT_ROUNDS:
-                continue
-            break
+            return
         done = stage(_with_texts(pairs, classes, docs).mapInArrow(
             _confirm(width, percent), "a binary, b binary, linked boolean"), "near-confirmed")
         tried = done.select("a", "b") if tried is None else tried.unionAll(done.select("a", "b"))
@@ -282,6 +349,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = found if links is None else links.unionAll(found)
         labels = stage(components(links), "near-labels")
 
+    # a bucket of one component stays one, so only open ones go on
+    rows = _mixed_buckets(classes.select("node", "n", F.explode("bands").alias("key")), labels)
+    for turn in range(PIVOT_ROUNDS):
+        plain = rows.withColumns({"own": F.lit(0).cast("long"), "parity": F.array().cast("array<long>")})
+        link(_pairs(plain, percent, F.xxhash64("node", F.lit(turn))))
+        rows = _mixed_buckets(rows, labels)
+    marks = classes.join(rows.select("node", "label").distinct(), "node").select("node", "n", "label", "signature")
+    rows = _mixed_buckets(marks.mapInArrow(_reband, "node binary, n long, label binary, key long"), labels)
+    bounds = stage(_bounds(rows.select("node").distinct(), classes, docs, width), "near-bounds")
+    link(_pairs(rows.join(bounds, "node"), percent, F.col("own") / F.col("n")))
+    link(_pairs(_mixed_buckets(rows, labels).join(bounds, "node"), percent))
+
     plain = classes.select("node", "rep.doc_id")
     if labels is not None:
         plain = plain.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
