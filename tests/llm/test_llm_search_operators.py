@@ -71,6 +71,34 @@ def test_near_duplicates(spark, width):
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_around_an_absent_text(spark):
+    """Copies with edits of their own, many pairs just below or above the limit, the text they stem from missing."""
+    rng = random.Random(11)
+    base = prose(rng, 150).split()
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(5, 145), 1 + k % 5):
+            own[at] = prose(rng, 1) + str(rng.randrange(4))
+        rows.append((k, " ".join(own)))
+    got = minhash.near_duplicates(docs(spark, rows), width=5).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(near_brute(rows, 5))
+    assert 1 < len({r["component_id"] for r in got}) < len(rows)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    pool = minhash.mix64(np.arange(1, 400, dtype="u8"))
+    sets = [np.sort(rng.choice(pool, int(rng.integers(1, 300)), replace=False)) for _ in range(40)]
+    sets += [sets[0][1:], sets[0]]
+    word = minhash.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for x, a in zip(sets, word):
+        for y, b in zip(sets, word):
+            odd = sum(bin(int(v) & 2**64 - 1).count("1") for v in a ^ b)
+            apart = len(np.setxor1d(x, y))
+            assert odd <= apart and (apart - odd) % 2 == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert [r["kept"] for r in minhash.near_duplicates(docs(spark, [(1, None)])).collect()] == [True]
