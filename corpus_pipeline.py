@@ -36,12 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 400 bytes that occur twice or more.
+    """All documents, without passages of over 50 words that occur twice or more.
 
-    A cut inside a character drops its remaining bytes, and with them any U+FFFD of a text that is cut.
+    Whole words go, so no character is cut.  Two places in one document count, too.
     """
-    cut = _keyed(suffix_dedup.repeats(docs), F.col("text_hash")).select(
-        *KEY, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")).alias("kept"))
+    cut = _keyed(suffix_dedup.repeated_words(docs), F.col("text_hash")).select(*KEY, F.col("kept").cast("string").alias("kept"))
     rows = _keyed(docs.select(*COLUMNS), F.xxhash64(text_or_empty())).join(cut, KEY, "left")
     return rows.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source",
                        F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

@@ -22,6 +22,10 @@ for sorting on them, since only equality matters here; identifiers are 64-bit
 
 Texts of documents in shared buckets are fetched once; a hot q-gram costs rows,
 never a task that holds its whole bucket.
+
+All of this is the same for texts read as words (runs of characters that are not white
+space), each of them one 64-bit hash where a byte stands otherwise: a passage is then a
+number of words, however short they are and whatever white space lies between them.
 """
 
 from __future__ import annotations
@@ -32,12 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.minhash import _BASE, _INVERSE, _power, mix64
+from panelweave.llm.minhash import _BASE, _INVERSE, _SPACE, _power, _word_hashes, mix64
+from panelweave.llm.minhash import _pieces as _text_pieces
 from panelweave.llm.text import small_batches, text_or_empty
 from panelweave.sources.scratch import stage
 
 LENGTH, Q = 400, 160
 CELL = 32
+#: Passages of over 50 words.
+PASSAGE, WORD_Q, WORD_CELL = 51, 20, 8
 PIECE = 1_000_000  # starts handled at a time; positions must fit 24 bits
 RUN = "h long, c long, doc_id long, text_hash long, lo long, n int, a int"
 
@@ -70,16 +77,36 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int, q: int):
     return text[cut], lo - bounds[text[cut]], n, anchor - lo, gram[anchor].view("i8"), cover.view("i8")
 
 
-def _pieces(texts: list[bytes], length: int):
-    """(index of the text, offset, bytes): long texts in overlapping pieces, so that every start is in one."""
-    for k, t in enumerate(texts):
+def _bytes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, "u1")
+
+
+def _words(text: bytes) -> np.ndarray:
+    return np.concatenate([np.empty(0, "u8"), *(_word_hashes(p)[0] for p in _text_pieces(text))])
+
+
+def _byte_edges(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    return spans
+
+
+def _word_edges(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans of words as ranges of bytes, from the first word's start to the last one's end."""
+    inside = np.r_[False, ~_SPACE[np.frombuffer(text, "u1")], False]
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    return [[int(change[2 * a]), int(change[2 * b - 1])] for a, b in spans]
+
+
+def _pieces(texts: list[bytes], length: int, read=_bytes):
+    """(index of the text, offset, units): long texts in overlapping pieces, so that every start is in one."""
+    for k, text in enumerate(texts):
+        t = read(text)
         for at in range(0, max(len(t) - length + 1, 0), PIECE):
             yield k, at, t[at:at + PIECE + length - 1]
 
 
-def _find(length: int, q: int):
+def _find(length: int, q: int, read):
     def flush(batch, held):
-        data = np.frombuffer(b"".join(p for _, _, p in held), "u1")
+        data = np.concatenate([p for _, _, p in held])
         bounds = np.cumsum([0, *(len(p) for _, _, p in held)])
         text, lo, n, a, h, c = _runs(data, bounds, length, q)
         rows = np.array([k for k, _, _ in held])[text]
@@ -92,7 +119,7 @@ def _find(length: int, q: int):
     def run(batches):
         for batch in batches:
             held, size = [], 0
-            for piece in _pieces(batch.column(2).cast(pa.binary()).to_pylist(), length):
+            for piece in _pieces(batch.column(2).cast(pa.binary()).to_pylist(), length, read):
                 held.append(piece)
                 size += len(piece[2])
                 if size > PIECE:
@@ -103,14 +130,14 @@ def _find(length: int, q: int):
     return run
 
 
-def _covers(length: int):
+def _covers(length: int, read):
     """The text under each open run."""
     def run(batches):
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for text, runs in zip(texts, batch.column(1).to_pylist()):
+            for text, runs in zip(map(read, texts), batch.column(1).to_pylist()):
                 for r in runs:
-                    r["cover"] = text[r["lo"]:r["lo"] + r["n"] + length - 1]
+                    r["cover"] = text[r["lo"]:r["lo"] + r["n"] + length - 1].tobytes()
                 yield pa.RecordBatch.from_pylist(runs, schema=pa.schema(
                     [("run", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("a", pa.int32()), ("active", pa.bool_()),
                      ("cover", pa.binary())]))
@@ -121,21 +148,22 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _reach(r: dict, j: int) -> tuple[int, int]:
+def _reach(r: dict, j: int, size: int) -> tuple[int, int]:
     """Distances of the q-gram from the starts of a run in one cell."""
-    return max(CELL * j, r["a"] - r["n"] + 1), min(CELL * j + CELL - 1, r["a"])
+    return max(size * j, r["a"] - r["n"] + 1), min(size * j + size - 1, r["a"])
 
 
-def _cells(length: int):
+def _cells(length: int, size: int, wide: int):
+    """Cells of `size` starts; a unit of the text takes `wide` bytes of the cover."""
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
-                for j in range((r["a"] - r["n"] + 1) // CELL, r["a"] // CELL + 1):
-                    at, (near, far) = r["a"] - CELL * j, _reach(r, j)
+                for j in range((r["a"] - r["n"] + 1) // size, r["a"] // size + 1):
+                    at, (near, far) = r["a"] - size * j, _reach(r, j, size)
                     seed = (r["h"] ^ j) & (1 << 64) - 1
-                    core = xxhash.xxh3_64_intdigest(r["cover"][at:at + length - CELL + 1], seed=seed)
-                    whole = xxhash.xxh3_64_intdigest(r["cover"][r["a"] - far:r["a"] - near + length], seed=far)
+                    core = xxhash.xxh3_64_intdigest(r["cover"][wide * at:wide * (at + length - size + 1)], seed=seed)
+                    whole = xxhash.xxh3_64_intdigest(r["cover"][wide * (r["a"] - far):wide * (r["a"] - near + length)], seed=far)
                     out.append((r["run"], _long(core), _long(whole), j, near, far, r["active"]))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
@@ -144,16 +172,16 @@ def _cells(length: int):
     return run
 
 
-def _starts(length: int):
+def _starts(length: int, size: int, wide: int):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
                 for c in r["cells"]:
-                    near, far = _reach(r, c["cell"])
+                    near, far = _reach(r, c["cell"], size)
                     for o in range(near, far + 1):
                         at = r["a"] - o
-                        digest = xxhash.xxh3_128_intdigest(r["cover"][at:at + length], seed=o)
+                        digest = xxhash.xxh3_128_intdigest(r["cover"][wide * at:wide * (at + length)], seed=o)
                         out.append((r["run"], o, _long(digest >> 64), _long(digest & (1 << 64) - 1), c["active"]))
             columns = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
@@ -162,40 +190,54 @@ def _starts(length: int):
     return run
 
 
-def _cut(batches):
-    for batch in batches:
-        spans, kept = [], []
-        for text, raw in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-            merged: list[list[int]] = []
-            for s in raw:
-                if merged and s["lo"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["hi"])
-                else:
-                    merged.append([s["lo"], s["hi"]])
-            edges = [0, *(e for m in merged for e in m), len(text)]
-            kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            spans.append([{"lo": a, "hi": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-             pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "spans", "kept"])
+def _cut(edges_of, touch: int):
+    """Spans whose distance is below `touch` are one; between words that touch there is white space, which stays."""
+    def run(batches):
+        for batch in batches:
+            spans, kept = [], []
+            for text, raw in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+                merged: list[list[int]] = []
+                for s in raw:
+                    if merged and s["lo"] < merged[-1][1] + touch:
+                        merged[-1][1] = max(merged[-1][1], s["hi"])
+                    else:
+                        merged.append([s["lo"], s["hi"]])
+                merged = edges_of(text, merged)
+                edges = [0, *(e for m in merged for e in m), len(text)]
+                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                spans.append([{"lo": a, "hi": b} for a, b in merged])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
+                 pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "spans", "kept"])
+    return run
 
 
 def _same(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+def repeated_words(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """As `repeats`, of every document that holds a passage of `length` words that starts at two places or more.
+
+    spans are ranges of bytes, too, from the start of a word to the end of one; white space counts as
+    no part of a passage.
+    """
+    return repeats(docs, length, WORD_Q, words=True)
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = False) -> DataFrame:
     """doc_id, text_hash, spans, kept of every document that holds a repeated string.
 
     spans: the maximal byte ranges [lo, hi) to remove, in order; kept: the other bytes.
     text_hash is xxhash64 of the text (null: empty); (doc_id, text_hash) names a
     document, null ids included, and repeated rows repeat each other's text.  Strings are
     judged on the input; texts shorter than `length` are never touched.  Other columns
-    are ignored.
+    are ignored.  With `words`, `length` and `q` count words.
     """
+    read, edges, touch, wide, size = (_words, _word_edges, 0, 8, WORD_CELL) if words else (_bytes, _byte_edges, 1, 1, CELL)
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    runs = stage(docs.where(F.octet_length("text") >= length).mapInArrow(_find(length, q), RUN), "suffix-runs")
+    runs = stage(docs.where(F.octet_length("text") >= length).mapInArrow(_find(length, q, read), RUN), "suffix-runs")
     where = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash", "lo", "n", "a")
     classes = stage(runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("rep")), "suffix-classes")
     whole = runs.join(classes.where("m > 1").select("h", "c"), ["h", "c"]).select(
@@ -213,10 +255,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
 
     per_doc = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("run", "h", "lo", "n", "a", "active")).alias("runs"))
     covers = stage(involved.join(per_doc, _same(involved, per_doc)).select("text", "runs").mapInArrow(
-        _covers(length), "run long, h long, n int, a int, active boolean, cover binary"), "suffix-covers")
+        _covers(length, read), "run long, h long, n int, a int, active boolean, cover binary"), "suffix-covers")
 
     cells = stage(covers.mapInArrow(
-        _cells(length), "run long, core long, whole long, cell int, near int, far int, active boolean"), "suffix-cells")
+        _cells(length, size, wide), "run long, core long, whole long, cell int, near int, far int, active boolean"), "suffix-cells")
     alike = stage(cells.groupBy("core", "whole").agg(
         F.count(F.lit(1)).alias("m"), F.min(F.struct("run", "cell", "active")).alias("rep")), "suffix-alike")
     single = (F.col("m") == 1) & F.col("rep.active")
@@ -226,7 +268,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
 
     left = todo.groupBy("run").agg(F.collect_list("cell").alias("cells"))
     starts = stage(covers.drop("active").join(left, "run").mapInArrow(
-        _starts(length), "run long, offset int, one long, two long, active boolean"), "suffix-starts")
+        _starts(length, size, wide), "run long, offset int, one long, two long, active boolean"), "suffix-starts")
     equal = starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("k"), F.max("active").alias("any")).where("k > 1 AND any")
     same = starts.where("active").join(equal.select("one", "two"), ["one", "two"]).select(
         "run", F.col("offset").alias("near"), F.col("offset").alias("far"))
@@ -240,4 +282,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("raw"))
     joined = involved.join(every, _same(involved, every)).select(involved["doc_id"], involved["text_hash"], "text", "raw")
     return joined.mapInArrow(
-        _cut, "doc_id long, text_hash long, spans array<struct<lo:long,hi:long>>, kept binary")
+        _cut(edges, touch), "doc_id long, text_hash long, spans array<struct<lo:long,hi:long>>, kept binary")

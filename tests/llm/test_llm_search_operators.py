@@ -188,6 +188,54 @@ def test_repeat_query(spark, sf_dir):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), gone, n, hashlib.sha256(kept).hexdigest())
 
 
+def repeated_words_brute(texts, length=51):
+    split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    grams = [[tuple(t[a:b] for a, b in w[k:k + length]) for k in range(len(w) - length + 1)] for t, w in zip(texts, split)]
+    count = Counter(g for each in grams for g in each)
+    out = []
+    for t, w, each in zip(texts, split, grams):
+        gone = np.zeros(len(t), bool)
+        for k, g in enumerate(each):
+            if count[g] > 1:
+                gone[w[k][0]:w[k + length - 1][1]] = True
+        out.append(bytes(np.frombuffer(t, "u1")[~gone]))
+    return out
+
+
+def passage_rows():
+    rng = random.Random(12)
+    short = " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(52))  # 155 bytes
+    fifty, long = prose(rng, 50), prose(rng, 300)
+    texts = [prose(rng, 40) + " " + short + " " + prose(rng, 60), prose(rng, 70) + "\n" + short.replace(" ", " \n") + "\t" + prose(rng, 30),
+             fifty + " " + prose(rng, 60), prose(rng, 60) + " " + fifty, long, prose(rng, 9) + " " + long[300:900] + " é\ufffd " + prose(rng, 5),
+             "\ufffd " + long[700:1200], "a " * 80, prose(rng, 5) + " " + short + "\n \n" + long[:700], "x" * 900, "y" + "x" * 900, "one two " * 60, short, "", None]
+    texts += [" ".join(long.split()[k:k + 60]) + " " + prose(rng, 3) for k in range(0, 90, 7)]
+    return [(k, t) for k, t in enumerate(texts)], short
+
+
+def test_repeated_words(spark):
+    rows, _ = passage_rows()
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.repeated_words(docs(spark, rows)).collect()}
+    texts = [(t or "").encode() for _, t in rows]
+    want = {k: kept for k, (t, kept) in enumerate(zip(texts, repeated_words_brute(texts))) if kept != t}
+    assert got == want and len(got) > 15
+    assert suffix_dedup.repeated_words(docs(spark, [])).count() == 0
+
+
+def test_pipeline_passages_of_short_words(spark, sf_dir):
+    """A passage of 52 short words in two documents goes, though it has less than 400 bytes."""
+    rows, short = passage_rows()
+    assert len(short.split()) == 52 and len(short) < 400
+    got = {r["doc_id"]: r for r in corpus_pipeline.repeated_passages(spark, docs(spark, rows), sf_dir).collect()}
+    want = repeated_words_brute([(t or "").encode() for _, t in rows])
+    assert len(got) == len(rows)
+    for (k, t), kept in zip(rows, want):
+        assert (got[k]["text"] or "") == kept.decode()
+        assert kept == (t or "").encode() or got[k]["n_chars"] == len(kept.decode())
+    assert got[0]["text"].split() == rows[0][1].split()[:40] + rows[0][1].split()[-60:]
+    assert got[2]["text"] == rows[2][1] and got[9]["text"] == rows[9][1]
+
+
 def test_quality_features():
     rng = random.Random(3)
     texts = [b"", b" \n", b"one", prose(rng, 50).encode(), b"AB! AB! AB! ab\nx\nx\n", "é ü".encode()]
