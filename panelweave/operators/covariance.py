@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import sparse_precision, symmetric
+from ..functions.kernels import GAP, sparse_precision, symmetric
 from .panel import spread
 
 
@@ -84,8 +84,9 @@ def glasso(cov: DataFrame, lambdas: Sequence[float], ridges: Sequence[float] = (
 
     Each day is one group of K(K+1)/2 cells.  Penalties run from large to
     small inside the group so that each solve starts from the previous one.
-    A ridge is added only while the matrix is not positive definite; a day that
-    none of the ridges repairs gets status 'failed' and no cells.  n_factors
+    A ridge is added only while the matrix is not positive definite or its solve
+    does not converge (gap above GAP); a day that none of the ridges repairs gets
+    status 'failed' and no cells.  n_factors
     principal components can be taken out first (C15).
     """
     ordered = sorted(lambdas, reverse=True)
@@ -104,7 +105,7 @@ def glasso(cov: DataFrame, lambdas: Sequence[float], ridges: Sequence[float] = (
                 if not np.isfinite(m).all() or np.linalg.eigvalsh(m)[0] <= 1e-12 * np.trace(m) / len(m):
                     continue
                 omega, used, gap = sparse_precision(m, lam, start, max_iter, tol)
-                if not np.isfinite(gap):
+                if not gap <= GAP:
                     continue
                 start, cells = omega, omega[a, b]
                 keep = np.abs(cells) > 1e-12

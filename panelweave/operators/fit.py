@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import least_squares, weighted_lasso
+from ..functions.kernels import least_squares, solve_lasso
 from .evaluate import accuracy, fold_dispersion, turnover_econ, turnover_seq
 from .panel import spread
 from .portfolio import renormalise
@@ -102,7 +102,7 @@ def moments(rows: DataFrame, cuts: Sequence[int]) -> DataFrame:
 
 MOMENT, CHANGE, LINK = 0, 1, 2
 FITTED = ("model string, config_id int, fold int, equation int, intercept double, "
-          "pos array<int>, beta array<double>, density double, seconds double")
+          "pos array<int>, beta array<double>, density double, seconds double, converged boolean")
 
 
 def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFrame | None = None,
@@ -113,6 +113,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
     either direction once; a config connects the pairs with p >= tau.  The
     configs of one model form paths of at most `path_length`, solved from the
     largest penalty down with warm starts; paths and blocks run in parallel.
+    `converged` is false where the sweeps of the block ended at their cap.
     """
     p, k = layout.p, layout.n_assets
     n_blocks = -(-k // block)
@@ -175,9 +176,9 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
                 pen[: layout.n_lagged][own] = 0.0
             g = (gram + c.lam_smooth * change)[np.ix_(keep, keep)]
             if c.kind == "ols":
-                beta[keep] = least_squares(g, cross[keep])
+                beta[keep], converged = least_squares(g, cross[keep]), True
             else:
-                beta[keep] = weighted_lasso(g, cross[keep], pen[keep], beta[keep])
+                beta[keep], converged = solve_lasso(g, cross[keep], pen[keep], beta[keep])
             beta[~keep] = 0.0
             raw = beta / sd[:, None]
             icept = y_mean - mean @ raw
@@ -186,7 +187,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
             for e in range(m):
                 pos = np.flatnonzero(raw[:, e])
                 out.append((c.model, c.config_id, fold, lo + e, icept[e], (pos + 1).tolist(),
-                            raw[pos, e].tolist(), linked, took))
+                            raw[pos, e].tolist(), linked, took, converged))
         return pd.DataFrame(out, columns=[f.split()[0] for f in FITTED.split(", ")])
 
     return spread(rows, "fold", "path", "block").groupBy("fold", "path", "block").applyInPandas(solve, FITTED)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from panelweave.functions.kernels import (min_variance, optimality_gap, recurrent_forward, soft, sparse_precision,
+from panelweave.functions.kernels import (GAP, min_variance, optimality_gap, recurrent_forward, soft, solve_lasso, sparse_precision,
                                           symmetric, weighted_lasso)
 
 
@@ -45,6 +45,26 @@ def test_precision_at_published_scale():
     assert gap_a < 1e-3 and gap_b < 1e-3 and np.allclose(a, b * 1e6, rtol=1e-6)
 
 
+def test_precision_converges_after_factor_removal():
+    """Nearly singular matrices: 500 steps alone leave the conditions open by several times lam."""
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        s = np.cov(rng.standard_normal((6, 30)) * [[300.0], [100.0], [30.0], [10.0], [3.0], [1.0]])
+        val, vec = np.linalg.eigh(s)
+        s = (vec[:, :-1] * val[:-1]) @ vec[:, :-1].T + 1e-2 * np.eye(6)
+        for lam in (2.0, 0.5, 0.05):
+            omega, _, gap = sparse_precision(s, lam, max_iter=500)
+            assert gap <= GAP and gap == pytest.approx(optimality_gap(s, omega, lam))
+
+
+def test_lasso_says_whether_it_converged():
+    rng = np.random.default_rng(8)
+    g, c, pen = random_cov(10, 40, 6, 1.0) / 40, rng.standard_normal((10, 2)), np.full((10, 2), 0.01)
+    assert not solve_lasso(g, c, pen, np.zeros((10, 2)), max_sweeps=2)[1]
+    beta, converged = solve_lasso(g, c, pen, np.zeros((10, 2)))
+    assert converged and np.array_equal(beta, weighted_lasso(g, c, pen, np.zeros((10, 2))))
+
+
 def test_lasso_on_orthonormal_design_is_soft_threshold():
     rng = np.random.default_rng(0)
     c = rng.standard_normal((12, 4))

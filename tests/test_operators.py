@@ -102,6 +102,17 @@ def test_glasso_rows_and_ridge_chain(spark):
     assert [r["day"] for r in ok.collect()] == [D[0]] and [r["day"] for r in bad.collect()] == [D[1]]
 
 
+def test_glasso_stopped_by_its_cap_is_failed(spark):
+    x = np.random.default_rng(3).standard_normal((70, 200))
+    s = x @ x.T
+    cov = spark.createDataFrame([(D[0], f"a{i:02}", f"a{j:02}", float(s[i, j])) for i in range(70) for j in range(i, 70)],
+                                "day date, i string, j string, v double")
+    bad = cv.glasso(cov, [0.01], ridges=(0.0, 1e-3), max_iter=15).collect()[0]
+    assert bad["status"] == "failed" and not bad["v"]
+    good = cv.glasso(cov, [0.01], ridges=(0.0, 1e-3)).collect()[0]
+    assert good["status"] == "ok" and good["gap"] <= 1e-3
+
+
 def test_glasso_is_optimal_on_real_panels(spark, sf_dir):
     from panelweave.sources import bindings as b
 
