@@ -106,6 +106,13 @@ def _moments(spark, sf):
     return fm.moments(rows, CUTS).select("fold", "kind", "i", "j", *r("v", digits=6))
 
 
+def _moments_full(spark, sf):
+    """Three lags and eight exogenous columns, as the fits take them."""
+    w, long, _ = full_design(spark, sf)
+    mom = fm.moments(rows_of(w, long, LAGS, layout_of(6).p), CUTS)
+    return mom.select("fold", "kind", "i", "j", *r("v", digits=6))
+
+
 def single_fit(spark, sf):
     w, long = single_design(spark, sf)
     fitted = fm.fit(fm.moments(rows_of(w, long, 0, 1), CUTS), SINGLE, fm.Layout(6, 0, 1))
@@ -172,9 +179,10 @@ def _grid(spark, sf):
 def _backtest(spark, sf):
     w, long, _ = full_design(spark, sf)
     eq = stage(equations(w), "assets")
-    scores = fm.backtest(rows_of(w, long, LAGS, layout_of(6).p), long, w, eq, [FULL[0], FULL[3]], layout_of(6),
-                         CUTS, HORIZON, stage=stage)
-    return scores.drop("fit_time_s", "density")
+    links = asset_links(spark, sf, "p_type", eq)
+    scores = fm.backtest(rows_of(w, long, LAGS, layout_of(6).p), long, w, eq, FULL, layout_of(6), CUTS, HORIZON,
+                         links, stage)
+    return scores.drop("fit_time_s")
 
 
 def _backtest_single(spark, sf):
@@ -222,6 +230,7 @@ def _recurrent(spark, sf):
 
 QUERIES = {
     "f00_moments": _moments,
+    "f00_moments_full": _moments_full,
     "f01_ols_single": _ols_single,
     "f01_var_ols": _fit_of("M1"),
     "f02_lasso_single": _lasso_single,

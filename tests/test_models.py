@@ -201,3 +201,36 @@ def test_model_selection_falls_back_and_drops(spark):
     assert tight["M5"] == (3, "within bounds")
     none = {r["model"]: (r["config_id"], r["reason"]) for r in fm.select_models(grid, max_turnover=0.01).collect()}
     assert none["M5"] == (2, "no config within bounds; lowest MSE")
+
+
+def test_registered_backtest_runs_every_configuration(spark, sf_dir):
+    from panelweave.plans import models as md
+
+    rows = md.QUERIES["f13_backtest"](spark, sf_dir).collect()
+    assert sorted((r["model"], r["config_id"], r["fold"]) for r in rows) == sorted(
+        (c.model, c.config_id, f) for c in md.FULL for f in range(len(md.CUTS)))
+    assert all((r["density"] is not None) == (r["model"] in ("M4", "M5")) for r in rows)
+    assert all(np.isfinite(r["val_mse"]) for r in rows)
+
+
+def test_registered_moments_cover_the_full_design(spark, sf_dir):
+    from panelweave.plans import models as md
+
+    w, long, _ = md.full_design(spark, sf_dir)
+    rows = md.rows_of(w, long, md.LAGS, md.layout_of(6).p).toPandas().sort_values("t")
+    x, y = np.stack(rows["x"]), np.stack(rows["y"])
+    assert x.shape[1] == 3 * 6 + 8
+    got = {(r["fold"], r["i"], r["j"]): r["v"] for r in md.QUERIES["f00_moments_full"](spark, sf_dir).filter("kind = 'z'").collect()}
+    for fold, cut in enumerate(md.CUTS):
+        z = np.column_stack([np.ones(len(x)), x, y])[rows["t"].to_numpy() < cut]
+        want = z.T @ z
+        assert all(got[fold, i, j] == pytest.approx(want[i, j], rel=1e-9, abs=2e-6) for i in range(len(want)) for j in range(i, len(want)))
+
+
+def test_ranking_of_all_models_or_some(spark, sf_dir):
+    from panelweave.plans import reports
+
+    every = reports.QUERIES["h05_grid_ranking_all"](spark, sf_dir).collect()
+    assert "M5" in {r["model"] for r in every} and [r["place"] for r in every] == list(range(1, len(every) + 1))
+    some = reports.ranking(spark, sf_dir, ["M4", "M5"]).collect()
+    assert {r["model"] for r in some} == {"M4", "M5"}
