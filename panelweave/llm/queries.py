@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat_format, html_mincut, minhash, mixing, projected_ann, pu_quality, quality_rules, shards, suffix_dedup
+from panelweave.llm import bpe, byte_bpe, chat_format, html_mincut, minhash, mixing, projected_ann, pu_quality, quality_rules, shards, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -116,6 +116,17 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to bytes' tokens and decoded."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, packed=True)
+    return byte_bpe.decode(coded, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -127,6 +138,7 @@ QUERIES = {
     "op8_pu_quality": op8_pu_quality,
     "op9_projected_ann": op9_projected_ann,
     "op10_quality_rules": op10_quality_rules,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES = {
