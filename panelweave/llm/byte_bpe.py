@@ -34,13 +34,13 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: No pattern that takes white space only at the start of a match crosses from other characters to white space.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Chunks and matches (up to a length) in a generation of those whose ids a task keeps; states and pairs it keeps.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH, KEPT_STATES, KEPT_PAIRS = 300_000, 200_000, 64, 300_000, 600_000
+KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH, KEPT_STATES, KEPT_PAIRS = 130_000, 80_000, 64, 120_000, 200_000
 #: Bytes after which what all guesses share is emitted.
 WINDOW = 512
 
 
 class Ranks:
-    """Tokens of a rank file, their trie, and which pairs stay apart."""
+    """Tokens of a rank file, and which pairs stay apart."""
 
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -50,20 +50,6 @@ class Ranks:
         for token, r in self.rank.items():
             self.token[r] = token
         self.length = [len(t) for t in self.token]
-        self.child: dict[int, int] = {}
-        self.ends = [-1]
-        self.leads = [True]
-        for token, r in self.rank.items():
-            node = 0
-            for byte in token:
-                key = node << 8 | byte
-                if key not in self.child:
-                    self.child[key] = len(self.ends)
-                    self.leads[node] = True
-                    self.ends.append(-1)
-                    self.leads.append(False)
-                node = self.child[key]
-            self.ends[node] = r
         self.apart: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -111,9 +97,21 @@ class Transducer:
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
-        self.depth = [0] * len(ranks.ends)
-        for key, to in ranks.child.items():  # parents come before their children
-            self.depth[to] = self.depth[key >> 8] + 1
+        # the trie: node and byte -> node, and per node the token that ends there, whether it goes on, and its depth
+        self.child: dict[int, int] = {}
+        self.ends, self.leads, self.depth = [-1], [True], [0]
+        for token, r in ranks.rank.items():
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(self.ends)
+                    self.leads[node] = True
+                    self.ends.append(-1)
+                    self.leads.append(False)
+                    self.depth.append(self.depth[node] + 1)
+                node = self.child[key]
+            self.ends[node] = r
         self.reset()
 
     def reset(self) -> None:
@@ -122,15 +120,15 @@ class Transducer:
 
     def move(self, places: tuple[tuple[int, int], ...], byte: int) -> tuple[State, int]:
         """The state after one more byte, and the token that ends there."""
-        ranks, alive, done = self.ranks, [], -1
+        alive, done = [], -1
         for last, node in places:
-            to = ranks.child.get(node << 8 | byte)
+            to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
-            token = ranks.ends[to]
-            if done < 0 <= token and ranks.pair(last, token):
+            token = self.ends[to]
+            if done < 0 <= token and self.ranks.pair(last, token):
                 done = token
-            if ranks.leads[to]:
+            if self.leads[to]:
                 alive.append((last, to))
         if done < 0:
             raise ValueError("the rank file lacks a single byte or a step towards one of its tokens")

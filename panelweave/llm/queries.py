@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, byte_bpe, chat_format, html_mincut, minhash, mixing, projected_ann, pu_quality, quality_rules, shards, suffix_dedup
+from panelweave.llm import bpe, byte_bpe, chat_format, html_mincut, minhash, mixing, projected_ann, pu_quality, quality_rules, shards, spelling, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -116,6 +116,12 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some thinned by one letter, with their more frequent near words."""
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"), least=7, least_n=2, drop=31)
+    return spelling.group_variants(words, ratio=10)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to bytes' tokens and decoded."""
     import public_tokenizers
@@ -138,6 +144,7 @@ QUERIES = {
     "op8_pu_quality": op8_pu_quality,
     "op9_projected_ann": op9_projected_ann,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_byte_bpe": op12_byte_bpe,
 }
 
@@ -187,4 +194,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        OR n_dup_lines * 100 > n_lines * 40 OR n_stutter * 100 > n_words * 30 OR word_chars > n_words * 14 OR word_chars < n_words * 2
        OR n_upper * 10 > word_chars * 4) AS kept
 FROM c""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+      list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS h
+  FROM d, crc),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*)::BIGINT AS n_near, arg_min(other, (-n, encode(other))) AS best, max(n) AS best_n FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form,
+         CASE WHEN best_n >= 10 * w.n THEN best_n END::BIGINT AS form_n FROM w LEFT JOIN best USING (word)),
+led AS (
+  SELECT word, word AS root, form AS following FROM f
+  UNION ALL SELECT led.word, f.word, f.form FROM led JOIN f ON led.following = f.word)
+SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n FROM f JOIN led ON f.word = led.word AND led.following IS NULL""",
 }
