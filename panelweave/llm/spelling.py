@@ -63,9 +63,9 @@ def _count(least: int, drop: int | None):
                         word = _thin(prefix, found, drop)
                         if len(word) >= least:
                             held[word] = held.get(word, 0) + n
-                if len(held) >= HELD_WORDS:
-                    yield batch_of(held)
-                    held = {}
+                    if len(held) >= HELD_WORDS:
+                        yield batch_of(held)
+                        held = {}
         if held:
             yield batch_of(held)
     return run
