@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, byte_bpe, chat_format, html_mincut, minhash, mixing, projected_ann, pu_quality, quality_rules, shards, spelling, suffix_dedup
+from panelweave.llm import bpe, byte_bpe, chat_format, html_mincut, minhash, mixing, phrases, projected_ann, pu_quality, quality_rules, shards, spelling, suffix_dedup
 from panelweave.llm.text import text_or_empty, words
 
 
@@ -133,6 +133,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words follow each other most above chance."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -146,6 +151,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 ORACLES = {
@@ -226,4 +232,31 @@ led AS (
   SELECT word, word AS root, form AS following FROM f
   UNION ALL SELECT led.word, f.word, f.form FROM led JOIN f ON led.following = f.word)
 SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n FROM f JOIN led ON f.word = led.word AND led.following IS NULL""",
+    "op13_phrase_mining": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 100),
+inner_parts AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, k, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)),
+kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_parts x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.a >= 100 * c.a)),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+  JOIN n ON n.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000""",
 }
