@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,10 @@ from pyspark.sql import types as T
 
 from panelweave.llm.text import byte_slices, small_batches, text_or_empty
 
-#: White space of the Unicode property, which the patterns' \s stands for.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No pattern that takes white space only at the start of a match crosses from other characters to white space.
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Chunks and matches (up to a length) in a generation of those whose ids a task keeps; states and pairs it keeps.
-KEPT_CHUNKS, KEPT_PIECES, KEPT_LENGTH, KEPT_STATES, KEPT_PAIRS = 130_000, 80_000, 64, 120_000, 200_000
+#: Matches (up to a length) in a generation of those whose ids a task keeps; states and pairs it keeps.
+KEPT_PIECES, KEPT_LENGTH, KEPT_STATES, KEPT_PAIRS = 350_000, 64, 300_000, 500_000
+#: A place: last whole token, trie node.
+PLACE = struct.Struct("<ii")
 #: Bytes after which what all guesses share is emitted.
 WINDOW = 512
 
@@ -79,21 +77,11 @@ class Ranks:
         return known
 
 
-class State(dict):
-    """byte -> (next state, token that ends there); a transition is worked out when it is first taken."""
-
-    __slots__ = ("machine", "places")
-
-    def __init__(self, machine: Transducer, places: tuple[tuple[int, int], ...]):
-        self.machine, self.places = machine, places
-
-    def __missing__(self, byte: int) -> tuple[State, int]:
-        self[byte] = step = self.machine.move(self.places, byte)
-        return step
-
-
 class Transducer:
-    """States made on demand: sets of (last whole token, trie node of the token being read)."""
+    """States made on demand: sets of (last whole token, trie node of the token being read).
+
+    A state is a number; its places are kept as bytes, and steps as numbers, so that many states take little room.
+    """
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
@@ -112,16 +100,20 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.child[key]
             self.ends[node] = r
+        self.width = max(ranks.size.bit_length(), 1)
         self.reset()
 
     def reset(self) -> None:
-        self.start = State(self, ((-1, 0),))
-        self.states = {self.start.places: self.start}
-
-    def move(self, places: tuple[tuple[int, int], ...], byte: int) -> tuple[State, int]:
-        """The state after one more byte, and the token that ends there."""
+        start = PLACE.pack(-1, 0)
+        self.states = {start: 0}
+        self.places = [start]
+        #: state and byte -> next state and the token that ends there
+        self.steps: dict[int, int] = {}
+
+    def move(self, state: int, byte: int) -> int:
+        """The step one byte leads to: next state << width | token that ends there."""
         alive, done = [], -1
-        for last, node in places:
+        for last, node in PLACE.iter_unpack(self.places[state]):
             to = self.child.get(node << 8 | byte)
             if to is None:
                 continue
@@ -129,14 +121,17 @@ class Transducer:
             if done < 0 <= token and self.ranks.pair(last, token):
                 done = token
             if self.leads[to]:
-                alive.append((last, to))
+                alive.append(PLACE.pack(last, to))
         if done < 0:
             raise ValueError("the rank file lacks a single byte or a step towards one of its tokens")
-        key = (*alive, (done, 0))
+        alive.append(PLACE.pack(done, 0))
+        key = b"".join(alive)
         to = self.states.get(key)
         if to is None:
-            to = self.states[key] = State(self, key)
-        return to, done
+            to = self.states[key] = len(self.places)
+            self.places.append(key)
+        self.steps[state << 8 | byte] = step = to << self.width | done
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -156,15 +151,20 @@ class Stream:
 
     def __init__(self, machine: Transducer):
         self.machine = machine
-        self.state = machine.start
+        self.state = 0
         self.out: list[int] = []
         self.ended: list[int] = []  # the token that ends at each byte after the emitted ones
 
     def feed(self, data: bytes) -> None:
-        state, put = self.state, self.ended.append
+        machine, state, put = self.machine, self.state, self.ended.append
+        step_of, width = machine.steps.get, machine.width
+        token = (1 << width) - 1
         for byte in data:
-            state, token = state[byte]
-            put(token)
+            step = step_of(state << 8 | byte)
+            if step is None:
+                step = machine.move(state, byte)
+            state = step >> width
+            put(step & token)
         self.state = state
         if len(self.ended) >= WINDOW:
             self.commit()
@@ -181,7 +181,7 @@ class Stream:
         """Emit the tokens all living guesses share."""
         size = len(self.ended)
         shared = None
-        for _, node in self.state.places:
+        for _, node in PLACE.iter_unpack(self.machine.places[self.state]):
             ends = set(self._path(size - self.machine.depth[node]))
             shared = ends if shared is None else shared & ends
         if shared:
@@ -199,41 +199,31 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-class Encoder:
-    """Encodes texts; keeps the packed ids of chunks and matches seen lately, in two generations each."""
+class Encoder(dict):
+    """Packed ids of the matches seen lately, in two generations; others are encoded when asked for."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         self.machine = Transducer(ranks(path))
         self.pattern = regex.compile(pattern)
-        self.chunks, self.old_chunks, self.pieces, self.old_pieces = {}, {}, {}, {}
+        self.old: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> bytes:
-        packed = self.old_pieces.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
         if packed is None:
             if len(self.machine.states) >= KEPT_STATES:
                 self.machine.reset()
             packed = np.array(self.machine.encode(piece.encode("utf-8")), "<u4").tobytes()
         if len(piece) <= KEPT_LENGTH:
-            if len(self.pieces) >= KEPT_PIECES:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[piece] = packed
-        return packed
-
-    def chunk(self, chunk: str) -> bytes:
-        packed = self.old_chunks.get(chunk)
-        if packed is None:
-            known = self.pieces
-            packed = b"".join([known.get(p) or self.piece(p) for p in self.pattern.findall(chunk)])
-        if len(chunk) <= KEPT_LENGTH:
-            if len(self.chunks) >= KEPT_CHUNKS:
-                self.old_chunks, self.chunks = self.chunks, {}
-            self.chunks[chunk] = packed
+            if len(self) >= KEPT_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, chunk = self.chunks.get, self.chunk
-        return b"".join([known(c) or chunk(c) for c in CHUNK.findall(text)])
+        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -266,9 +256,7 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> Da
     """docs without `text`, with `ids`, the tokens of the whole text (null: empty).
 
     Each match of `pattern` is encoded on its own; there are no special tokens.  ids is an array
-    of integers or, `packed`, their bytes as little-endian unsigned 32-bit integers.  The pattern may
-    take white space only at the start of a match, as those of the public rank files do.  Other columns
-    pass through; a column named ids is replaced; repeated rows stay.
+    of integers or, `packed`, their bytes as little-endian unsigned 32-bit integers.  Other columns pass through; a column named ids is replaced; repeated rows stay.
     """
     small_batches(docs.sparkSession)
     own, fields = _own(docs, "text", "ids")

@@ -77,7 +77,7 @@ def test_tokens_leave_after_bounded_lookahead():
 
 
 def test_small_caches_change_nothing(monkeypatch):
-    for name in ("KEPT_CHUNKS", "KEPT_PIECES", "KEPT_STATES", "KEPT_PAIRS"):
+    for name in ("KEPT_PIECES", "KEPT_STATES", "KEPT_PAIRS"):
         monkeypatch.setattr(byte_bpe, name, 3)
     text = "the cat sat on the mat, the hat; overheated, unthinkably reheated cats " * 5
     assert np.frombuffer(byte_bpe.Encoder(PATH, PATTERN).encode(text), "<u4").tolist() == library().encode_ordinary(text)
