@@ -22,11 +22,24 @@ from panelweave.llm.text import byte_slices, small_batches, text_or_empty
 from panelweave.sources.scratch import stage
 
 #: Tokens of a block, and of a merged segment (about).
-BLOCK, SEGMENT = 1 << 20, 1 << 20
+BLOCK, SEGMENT = 1 << 21, 1 << 20
 #: A to Z lowered, marks that end a piece as line ends, tabs as blanks; on bytes, so nothing else changes.
 BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed, after their count."""
+    planes = np.ascontiguousarray(values.view("u1").reshape(len(values), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _stretch(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", "u1")
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
+
+
 class _Words(dict):
     """word -> number in order of appearance; 0 stands for nothing, 1 for the end of a piece."""
 
@@ -54,7 +67,7 @@ class _Block:
         counts = np.bincount(stream, minlength=len(self.words))[2:]
         # numbers from 1, 0 for the end of a piece
         return {"block": block, "lang": lang, "words": list(self.words)[2:], "counts": counts.tolist(),
-                "stream": (np.maximum(stream, 1) - 1).astype("<u4").tobytes()}
+                "stream": _squeeze((np.maximum(stream, 1) - 1).astype("<u4"))}
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())),
@@ -80,7 +93,7 @@ def _blocks(batches):
                 block.add(text)
                 if block.size >= BLOCK:
                     yield give([lang])
-            if sum(b.size for b in held.values()) >= 4 * BLOCK:
+            if len(held) > 4 and sum(b.size for b in held.values()) >= 2 * BLOCK:
                 yield give(list(held))
     for lang in list(held):
         yield give([lang])
@@ -104,7 +117,7 @@ def _state(block: int, ids: np.ndarray, alive: np.ndarray, layout: quotient.Layo
     if not len(at):
         return _STATE.empty_table()
     counts = np.diff(np.r_[starts, len(by)])
-    rows = [{"block": block, "ids": ids.astype("<u4").tobytes(), "alive": np.packbits(alive).tobytes()}]
+    rows = [{"block": block, "ids": _squeeze(ids.astype("<u4")), "alive": _squeeze(np.packbits(alive))}]
     for segment, part in quotient.segments(found, counts, layout, lead):
         rows.append({"block": block, "segment": segment, "bits": part.bits, "runs": part.runs, "remainders": part.remainders,
                      "small": part.small, "large": part.large})
@@ -118,14 +131,15 @@ def _first(bits: int, lead: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _STATE.empty_table()
-        stream = np.frombuffer(left.column("stream")[0].as_py(), "<u4")
+        stream = _stretch(left.column("stream")[0].as_py(), "<u4")
         local = right.column("local").to_numpy()
         to = np.zeros(int(max(stream.max(initial=0), local.max())) + 1, "u4")
         to[local] = right.column("id").to_numpy()
         ids = to[stream]
-        # one 0 between pieces is enough; the last place holds one
-        keep = (ids > 0) | np.r_[ids[1:] > 0, True]
-        ids = np.r_[ids[keep], np.zeros(1, "u4")]
+        # words without a neighbour are in no phrase; one 0 between runs is enough, and the last place holds one
+        known = np.r_[False, ids > 0, False]
+        ids = np.where(known[1:-1] & (known[:-2] | known[2:]), ids, 0)
+        ids = np.r_[ids[(ids > 0) | np.r_[ids[1:] > 0, False]], np.zeros(1, "u4")]
         return _state(left.column("block")[0].as_py(), ids, ids > 0, layout, lead)
     return run
 
@@ -137,8 +151,8 @@ def _grow(n: int, bits: int, lead: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _STATE.empty_table()
-        ids = np.frombuffer(left.column("ids")[0].as_py(), "<u4")
-        alive = np.unpackbits(np.frombuffer(left.column("alive")[0].as_py(), "u1"), count=len(ids)).astype(bool)
+        ids = _stretch(left.column("ids")[0].as_py(), "<u4")
+        alive = np.unpackbits(_stretch(left.column("alive")[0].as_py(), "u1"), count=len(ids)).astype(bool)
         at, by, starts, found = _offered(ids, alive, layout)
         segment = layout.leading(found, lead)
         frequent = np.zeros(len(starts), bool)
@@ -205,17 +219,18 @@ def count_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[
     small_batches(spark)
     rows = docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     blocks = stage(rows.mapInArrow(_blocks, "block long, lang string, words array<string>, counts array<long>, stream binary"), "blocks")
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
-    counted = stage(each.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")), "word-counts")
-    totals = stage(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    words, size = _numbered(counted.where(F.col("f") >= least))
+    totals = stage(blocks.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (a, c) -> a + c)")).alias("n")), "totals")
+    # a block's words travel once: their sums are taken where they meet; a word has one row per block
+    each = blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w"))
+    each = each.select("lang", F.col("w.words").alias("word"), "block", (F.col("local") + 1).alias("local"), F.col("w.counts").alias("c"))
+    each = each.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
+    each = stage(each.drop("c"), "frequent")
+    words, size = _numbered(each.select("lang", "word", "f").distinct())
     bits = max(size.bit_length(), 1)
     tokens = totals.agg(F.sum("n")).first()[0] or 0
     lead = min(max(int(tokens // SEGMENT).bit_length(), 0), quotient.Layout(2, bits).most_leading() - 1)
 
-    local = blocks.select("block", "lang", F.posexplode("words").alias("local", "word"))
-    known = local.join(words.select("lang", "word", "id"), ["lang", "word"]).select(
-        F.col("block").alias("of"), (F.col("local") + 1).alias("local"), "id")
+    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "local", "id")
     state = blocks.select("block", "stream").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_first(bits, lead), STATE)
     grams = None
     for n in range(2, longest + 1):

@@ -128,7 +128,8 @@ class Filter:
         widths = layout.widths
         bits = min(max(len(counts).bit_length() - 1, 0), widths[0] - lead)
         own = layout.leading(limbs, lead + bits) & ((1 << bits) - 1)
-        runs = np.bincount(own, minlength=1 << bits).astype("<u4")
+        runs = np.bincount(own, minlength=1 << bits)
+        runs = runs.astype("u1" if runs.max(initial=0) < 256 else "<u4")
         rest = [limbs[0] & _mask(widths[0] - lead - bits), *limbs[1:]]
         left = [widths[0] - lead - bits, *widths[1:]]
         parts = [x.astype(">u8").view("u1").reshape(-1, 8)[:, 8 - -(-w // 8):] for x, w in zip(rest, left)]
@@ -139,7 +140,7 @@ class Filter:
     def entries(self, layout: Layout, segment: int, lead: int) -> tuple[list[np.ndarray], np.ndarray]:
         """The sorted permuted numbers, whole, and their counts."""
         widths = layout.widths
-        runs = np.frombuffer(self.runs, "<u4")
+        runs = np.frombuffer(self.runs, "u1" if len(self.runs) == 1 << self.bits else "<u4")
         own = np.repeat(np.arange(len(runs), dtype="u8"), runs)
         counts = np.frombuffer(self.small, "u1").astype("i8")
         counts[counts == SMALL] = np.frombuffer(self.large, "<i8")
