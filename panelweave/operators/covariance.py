@@ -86,7 +86,7 @@ def glasso(cov: DataFrame, lambdas: Sequence[float], ridges: Sequence[float] = (
     small inside the group so that each solve starts from the previous one.
     A ridge is added only while the matrix is not positive definite or its solve
     does not converge (gap above GAP); a day that none of the ridges repairs gets
-    status 'failed' and no cells.  n_factors
+    status 'failed' and no cells, with the iterations and the gap of its last solve.  n_factors
     principal components can be taken out first (C15).
     """
     ordered = sorted(lambdas, reverse=True)
@@ -99,13 +99,14 @@ def glasso(cov: DataFrame, lambdas: Sequence[float], ridges: Sequence[float] = (
         a, b = np.triu_indices(len(names))
         out, start = [], None
         for lam in ordered:
-            began, row = time.perf_counter(), None
+            began, row, tried = time.perf_counter(), None, (0, None)
             for ridge in ridges:
                 m = s + ridge * np.eye(len(s))
                 if not np.isfinite(m).all() or np.linalg.eigvalsh(m)[0] <= 1e-12 * np.trace(m) / len(m):
                     continue
                 omega, used, gap = sparse_precision(m, lam, start, max_iter, tol)
                 if not gap <= GAP:
+                    tried = (used, gap if np.isfinite(gap) else None)
                     continue
                 start, cells = omega, omega[a, b]
                 keep = np.abs(cells) > 1e-12
@@ -114,7 +115,7 @@ def glasso(cov: DataFrame, lambdas: Sequence[float], ridges: Sequence[float] = (
                        names[a[keep]].tolist(), names[b[keep]].tolist(), cells[keep].tolist())
                 break
             if row is None:
-                row = ("failed", None, 0, None, None, None, 0, time.perf_counter() - began, [], [], [])
+                row = ("failed", None, *tried, None, None, 0, time.perf_counter() - began, [], [], [])
             out.append((pdf["day"].iloc[0], lam, *row))
         return pd.DataFrame(out, columns=[f.split()[0] for f in SOLVED.split(", ")])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,11 +80,11 @@ def gmvp_shrink(returns: DataFrame, cov: DataFrame, window: int = 40) -> DataFra
     return gmvp(shrunk_cov(returns, cov, window))
 
 
-def gmvp_glasso(cov: DataFrame, lam: float, window: int = 40) -> DataFrame:
-    """Minimum variance through the sparse precision of the rolling covariance."""
+def gmvp_glasso(cov: DataFrame, lam: float, window: int = 40, ridges: Sequence[float] = (0.0,), **solver) -> DataFrame:
+    """Minimum variance through the sparse precision of the rolling covariance, with the retry chain C4."""
     from .covariance import glasso, precision_cells, rolling_cov
 
-    return w_from_prec(precision_cells(glasso(rolling_cov(cov, window), [lam])))
+    return w_from_prec(precision_cells(glasso(rolling_cov(cov, window), [lam], ridges=ridges, **solver)))
 
 
 def equal_weights(panel: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def _select(spark, sf):
 
 def _factor_bic(spark, sf):
     returns = stage(b.trade_returns(spark, sf), "returns")
-    return pn.factor_bic(returns, 1, LAMBDAS, ridges=(1e-2, 1e-1), max_iter=500).select(
+    return pn.factor_bic(returns, 1, LAMBDAS, ridges=(1e-2, 1e-1)).select(
         "day", "lambda", "n_edges", *r("bic", digits=4))
 
 

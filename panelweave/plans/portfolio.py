@@ -55,7 +55,7 @@ def _gmvp_glasso(spark, sf):
 
 
 def _gmvp_glasso_types(spark, sf):
-    return pf.gmvp_glasso(type_cov(spark, sf), LAM, WINDOW).select("day", "asset", *r("w", digits=6))
+    return pf.gmvp_glasso(type_cov(spark, sf), LAM, WINDOW, ridges=(0.0, 1e-4)).select("day", "asset", *r("w", digits=6))
 
 
 def _equal(spark, sf):

@@ -1,8 +1,11 @@
 import os
 import sys
 
-import duckdb
-import pytest
+# as in the package's sessions: threads of several solvers at once only wait for each other
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import duckdb  # noqa: E402
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from panelweave.functions.kernels import (GAP, min_variance, optimality_gap, recurrent_forward, soft, solve_lasso, sparse_precision,
+from panelweave.functions.kernels import (GAP, blocks, min_variance, newton_precision, optimality_gap, recurrent_forward, soft,
+                                          solve_component, solve_lasso, sparse_precision,
                                           symmetric, weighted_lasso)
 
 
@@ -57,6 +58,46 @@ def test_precision_converges_after_factor_removal():
             assert gap <= GAP and gap == pytest.approx(optimality_gap(s, omega, lam))
 
 
+@pytest.mark.parametrize("k,m,lam", [(25, 30, 2.0), (60, 30, 20.0), (150, 30, 2.0)])
+def test_precision_converges_with_few_bars(k, m, lam):
+    """Rank 30, a ridge of 1e-2 and penalties far below the variances: conditions from the definition."""
+    rng = np.random.default_rng(k)
+    x = rng.exponential(size=(k, m)) * rng.uniform(2, 6, (k, 1)) * 2
+    s = x @ x.T + 1e-2 * np.eye(k)
+    omega, _, gap = sparse_precision(s, lam)
+    w, off = np.linalg.inv(omega), ~np.eye(k, dtype=bool)
+    assert gap <= GAP and np.abs(np.diag(w - s)).max() <= 1e-3 * lam
+    on = (omega != 0) & off
+    assert np.abs((w - s - lam * np.sign(omega))[on]).max() <= 1e-3 * lam and np.abs((w - s)[off]).max() <= (1 + 1e-3) * lam
+    assert np.linalg.eigvalsh(omega)[0] > 0
+
+
+def test_components_are_solved_apart():
+    """Screening changes nothing: whole solves agree with those of each block, and cells across blocks are zero."""
+    s = np.zeros((25, 25))
+    s[:12, :12], s[12:, 12:] = random_cov(12, 40, 5), random_cov(13, 40, 6)
+    s[:12, 12:] = s[12:, :12] = 1e-7
+    order = np.random.default_rng(7).permutation(25)
+    lam = 5e-6
+    found = [b.tolist() for b in blocks((np.abs(s) > lam)[np.ix_(order, order)])]
+    assert sorted(map(len, found)) == sorted(map(len, (b.tolist() for b in blocks(np.abs(s) > lam)))) and len(found) > 1
+    omega, _, gap = sparse_precision(s, lam)
+    whole, _ = solve_component(s, lam, None, 5000, 1e-11)
+    assert gap <= GAP / 10 and np.allclose(omega, whole, atol=1e-4 * np.abs(omega).max())
+    assert not omega[:12, 12:].any() and not whole[:12, 12:].any()
+    again, _, _ = sparse_precision(s[np.ix_(order, order)], lam)
+    assert np.allclose(again, omega[np.ix_(order, order)], atol=1e-6 * np.abs(omega).max())
+
+
+def test_newton_directions_need_no_system_of_cells():
+    s = random_cov(150, 400, 8)
+    d = np.sqrt(np.diag(s))
+    r, lam = s / np.outer(d, d), 0.15
+    pen = lam * (1 - np.eye(150))
+    z, steps = newton_precision(r, pen, np.eye(150), lambda m: optimality_gap(r, m, lam))
+    assert steps < 50 and optimality_gap(r, z, lam) <= GAP / 10
+
+
 def test_lasso_says_whether_it_converged():
     rng = np.random.default_rng(8)
     g, c, pen = random_cov(10, 40, 6, 1.0) / 40, rng.standard_normal((10, 2)), np.full((10, 2), 0.01)
