@@ -177,22 +177,31 @@ def verdict(rules: list[Rule], measured: dict[str, Column]) -> Column:
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[Rule] | None = None,
-            keep_measures: bool = False) -> DataFrame:
+            keep_measures: bool | tuple[str, ...] = False) -> DataFrame:
     """docs with `kept` and `rejected_by` (the first rule that rejects in the order used).
 
-    Null texts count as empty ones.  With `keep_measures` all measures are
-    computed first and returned; otherwise each is computed when a rule asks for it.
+    Null texts count as empty ones.  `keep_measures` (True: all) are computed first and returned; each
+    other one only where the row gets as far as a rule that asks for it.  A text is split into words once.
     Columns of docs that bear one of the added names are replaced.
     """
     order = ordered(estimate(docs, rules)) if order is None else order
-    text = text_or_empty()
-    added = ["kept", "rejected_by", *(MEASURES if keep_measures else [])]
+    kept = tuple(MEASURES) if keep_measures is True else tuple(keep_measures or ())
+    added = ["kept", "rejected_by", *kept]
     own = [c for c in docs.columns if c.lower() not in added]
-    split = docs.select(*own, text.alias("__text"), words(text).alias("__words"))
-    measured = _expressions(F.col("__text"), F.col("__words"))
-    if keep_measures:
-        split = split.select(*own, *[c.alias(name) for name, c in measured.items()])
-        measured = {name: F.col(name) for name in MEASURES}
-    out = split.withColumn("rejected_by", verdict(order, measured))
-    return out.select(*own, *(MEASURES if keep_measures else []), "rejected_by",
-                      F.col("rejected_by").isNull().alias("kept"))
+    split = docs.select(*own, text_or_empty().alias("__text"))
+
+    def judged(array: Column) -> Column:
+        """Kept measures, then the verdict that uses them; inside the lambda the words are bound."""
+        measured = _expressions(F.col("__text"), array)
+        if not kept:
+            return verdict(order, measured)
+        first = F.struct(*[measured[m].alias(m) for m in kept])
+        return let(first, lambda have: F.struct(
+            *[have[m].alias(m) for m in kept], verdict(order, measured | {m: have[m] for m in kept}).alias("rejected_by")))
+
+    result = let(words(F.col("__text")), judged)
+    if not kept:
+        out = split.withColumn("rejected_by", result)
+    else:
+        out = split.select(*own, result.alias("__result")).select(*own, "__result.*")
+    return out.select(*own, *kept, "rejected_by", F.col("rejected_by").isNull().alias("kept"))

@@ -51,7 +51,8 @@ def op9_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base rules and the verdict of the cascade per document."""
-    docs = quality_rules.cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_measures=True)
+    docs = quality_rules.cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_measures=(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     return docs.selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed", "kept")

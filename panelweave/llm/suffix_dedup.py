@@ -225,6 +225,36 @@ def repeated_words(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     return repeats(docs, length, WORD_Q, words=True)
 
 
+def _whole_characters(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans that would cut a character take all of it."""
+    out: list[list[int]] = []
+    for lo, hi in spans:
+        while text[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(text) and text[hi] & 0xC0 == 0x80:
+            hi += 1
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """As `repeats`, of every document that holds what either law removes, spans and all.
+
+    A passage of `passage` words, or a string of `length` bytes, that starts at two places or more:
+    the first misses text without white space, the second passages of short words.  A character that
+    a string's end would cut goes as a whole, so kept is valid text.
+    """
+    found = repeats(docs, length).unionAll(repeated_words(docs, passage)).select("doc_id", "text_hash", "spans")
+    spans = stage(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("raw")), "passages")
+    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    joined = texts.join(spans, _same(texts, spans)).select(texts["doc_id"], texts["text_hash"], "text", "raw")
+    return joined.dropDuplicates(["doc_id", "text_hash"]).mapInArrow(
+        _cut(_whole_characters, 1), "doc_id long, text_hash long, spans array<struct<lo:long,hi:long>>, kept binary")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = False) -> DataFrame:
     """doc_id, text_hash, spans, kept of every document that holds a repeated string.
 
