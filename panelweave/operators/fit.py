@@ -15,13 +15,14 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import least_squares, solve_lasso
 from .evaluate import accuracy, fold_dispersion, turnover_econ, turnover_seq
 from .panel import spread
-from .portfolio import renormalise
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,8 @@ class Config:
 
     kind 'ols' or 'lasso'; lam on lags, lam_exog on exogenous columns (None: the
     columns are left out), lam_net added for unconnected pairs, tau the
-    threshold of the network mean, lam_smooth the penalty on forecast changes.
+    threshold of the network mean, lam_smooth the penalty on forecast changes.  With
+    use_last_day the network is that of the last training day instead of the mean over training.
     """
 
     model: str
@@ -59,6 +61,7 @@ class Config:
     lam_smooth: float = 0.0
     self_free: bool = False
     kind: str = "lasso"
+    use_last_day: bool = False
 
 
 def design(features: DataFrame, targets: DataFrame) -> DataFrame:
@@ -100,7 +103,11 @@ def moments(rows: DataFrame, cuts: Sequence[int]) -> DataFrame:
     return cells.groupBy("fold", "kind", "i", "j").agg(F.sum("v").alias("v"))
 
 
-MOMENT, CHANGE, LINK = 0, 1, 2
+#: Groups (blocks times bundles of paths) of a fold that keep a cluster's tasks busy.
+BUSY = 32
+#: Arrow types of the columns of keys
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "date": pa.date32(), "double": pa.float64()}
+MOMENT, CHANGE, LINK, LAST = 0, 1, 2, 3
 FITTED = ("model string, config_id int, fold int, equation int, intercept double, "
           "pos array<int>, beta array<double>, density double, seconds double, converged boolean")
 
@@ -110,20 +117,32 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
     """One row per (config, fold, equation), non-zero coefficients as arrays.
 
     `links` is (fold, i, j, p): network means between assets numbered from 0,
-    either direction once; a config connects the pairs with p >= tau.  The
+    either direction once; a config connects the pairs with p >= tau.  A column `variant` may tell the
+    mean over training ('mean') from the last training day ('last'); each config takes its own.  The
     configs of one model form paths of at most `path_length`, solved from the
     largest penalty down with warm starts; paths and blocks run in parallel.
     `converged` is false where the sweeps of the block ended at their cap.
     """
     p, k = layout.p, layout.n_assets
+    plain = [c for c in configs if c.kind == "ols"]
+    if plain and block < k:  # one factorisation of a fold serves all its equations
+        rest = [c for c in configs if c.kind != "ols"]
+        whole = fit(mom, plain, layout, links, k, path_length)
+        return whole.unionAll(fit(mom, rest, layout, links, block, path_length)) if rest else whole
     n_blocks = -(-k // block)
-    ordered = sorted(configs, key=lambda c: (c.model, -c.lam_net, c.tau or 0.0, -(c.lam_exog or 0.0), -c.lam,
+    if links is None or "variant" not in links.columns:
+        wrong = [c.config_id for c in configs if c.use_last_day and c.tau is not None]
+        if wrong:
+            raise ValueError(f"configs {wrong} use the last day's network, which links do not hold")
+    ordered = sorted(configs, key=lambda c: (c.model, c.use_last_day, -c.lam_net, c.tau or 0.0, -(c.lam_exog or 0.0), -c.lam,
                                              -c.lam_smooth))
     paths: list[list[Config]] = []
     for _, group in groupby(ordered, key=lambda c: c.model):
         run = list(group)
         paths += [run[start:start + path_length] for start in range(0, len(run), path_length)]
     smooth = any(c.lam_smooth for c in configs)
+    # a group takes several paths once the blocks alone keep many tasks busy, so that matrices are not sent per path
+    bundles = min(len(paths), -(-BUSY // n_blocks))
 
     # rows of the matrices travel as arrays: p of them per matrix instead of p^2 cells
     used = mom.filter((F.col("i") <= p) & ((F.col("kind") == "z") | F.lit(smooth)))
@@ -132,22 +151,23 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
                         target.cast("int").alias("target"))
     if links is not None:
         both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-        pairs = links.select("fold", F.lit(LINK).alias("kind"), F.inline(both), F.col("p").alias("v"))
+        variant = F.when(F.col("variant") == "last", LAST).otherwise(LINK) if "variant" in links.columns else F.lit(LINK)
+        pairs = links.select("fold", variant.alias("kind"), F.inline(both), F.col("p").alias("v"))
         cells = cells.unionByName(pairs.withColumn("target", F.floor(F.col("j") / block).cast("int")))
     everywhere = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     rows = (cells.groupBy("fold", "kind", "i", "target").agg(F.collect_list(F.struct("j", "v")).alias("c"))
             .select("fold", "kind", "i", F.col("c.j").alias("js"), F.col("c.v").alias("vs"),
                     F.explode(F.when(F.col("target") < 0, everywhere).otherwise(F.array("target"))).alias("block"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.lit(len(paths) - 1))).alias("path")))
+            .select("*", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("path")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         fold, path, b = (pdf[c].iloc[0] for c in ("fold", "path", "block"))
         lo, m = b * block, min(block, k - b * block)
         g0, c0 = np.zeros((p + 1, p + 1)), np.zeros((p + 1, m))
-        dd, link = np.zeros((p, p)), np.zeros((k, m))
+        dd, network = np.zeros((p, p)), {LINK: np.zeros((k, m)), LAST: np.zeros((k, m))}
         for kind, i, js, vs in zip(pdf["kind"], pdf["i"], pdf["js"], pdf["vs"]):
-            if kind == LINK:
-                link[i, js - lo] = vs
+            if kind in network:
+                network[kind][i, js - lo] = vs
             elif kind == CHANGE:
                 dd[i, js] = dd[js, i] = vs
             elif js[0] <= p:
@@ -166,8 +186,11 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
         other = np.arange(k)[:, None] != np.arange(lo, lo + m)[None, :]
 
         out, beta = [], np.zeros((p, m))
-        for c in paths[path]:
+        for first, c in ((n == 0, c) for run in paths[path::bundles] for n, c in enumerate(run)):
             began = time.perf_counter()
+            if first:
+                beta = np.zeros((p, m))
+            link = network[LAST if c.use_last_day else LINK]
             near = own | (link[asset] >= c.tau) if c.tau is not None else np.ones_like(own)
             keep = np.arange(p) < (p if c.lam_exog is not None else layout.n_lagged)
             pen = np.full((p, m), c.lam_exog or 0.0)
@@ -204,21 +227,56 @@ def coefficients(fitted: DataFrame, assets: DataFrame) -> DataFrame:
             .select("model", "config_id", "fold", "asset", F.inline(F.arrays_zip("pos", "beta"))))
 
 
+#: Design rows of a block (by t), and bundles over which the runs of a fold are spread, of a forecast's product.
+ROW_BLOCK, BUNDLES = 512, 8
+FORECAST = "model string, config_id int, fold int, t int, day date, asset string, w_hat double"
+
+
 def predict(long: DataFrame, coefs: DataFrame, normalise: bool = True) -> DataFrame:
-    """F8: (model, config_id, fold, t, day, asset, w_hat) from a sparse join on position.
+    """F8: (model, config_id, fold, t, day, asset, w_hat), a blocked product of design rows and sparse coefficients.
 
-    `long` is (fold, t, day, pos, v); only non-zero coefficients meet the data.  Days
-    that lack a position, or have a null there, get no forecast, as they take no part in fits."""
+    `long` is (fold, t, day, pos, v).  A row of the design travels as one array, a column of
+    coefficients as its non-zero positions and values.  A group is one block of rows and the runs of one
+    bundle: rows are sent BUNDLES times and coefficients once per block of rows, whatever their
+    number, and the product of a group is one matrix product.  A run keeps all assets in its group, so forecasts
+    are normalised there (D6).  Days that lack a position, or have a null there, get no forecast, as they take no part in fits.
+    """
+    types = {f.name: f.dataType.simpleString() for f in (*long.schema, *coefs.schema)}
+    schema = ", ".join(f"{name} {types.get(name, kind)}" for name, kind in (f.split() for f in FORECAST.split(", ")))
     width = long.agg(F.max("pos")).scalar()
-    whole = long.groupBy("fold", "t", "day").agg(F.count("v").alias("n")).withColumn("width", width)
-    long = long.join(whole.filter("n = width").select("fold", "t", "day"), ["fold", "t", "day"], "left_semi")
-    ones = long.select("fold", "t", "day").distinct().select(
-        "fold", "t", "day", F.lit(0).alias("pos"), F.lit(1.0).alias("v"))
-    out = (long.select("fold", "t", "day", "pos", "v").unionByName(ones)
-           .join(coefs, ["fold", "pos"])
-           .groupBy("model", "config_id", "fold", "t", "day", "asset")
-           .agg(F.sum(F.col("v") * F.col("beta")).alias("w_hat")))
-    return renormalise(out, "model", "config_id", "fold", "day") if normalise else out
+    whole = (long.groupBy("fold", "t", "day")
+             .agg(F.count("v").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("c"))
+             .filter(F.col("n") == width))
+    rows = whole.select("fold", F.floor(F.col("t") / ROW_BLOCK).alias("part"), "t", "day", F.col("c.v").alias("x"),
+                        F.explode(F.sequence(F.lit(0), F.lit(BUNDLES - 1))).alias("bundle"))
+    columns = coefs.groupBy("model", "config_id", "fold", "asset").agg(F.collect_list(F.struct("pos", "beta")).alias("c")).select(
+        "*", F.col("c.pos").alias("pos"), F.col("c.beta").alias("beta"),
+        F.pmod(F.xxhash64("model", "config_id"), F.lit(BUNDLES)).cast("int").alias("bundle")).drop("c")
+    parts = rows.select(F.col("fold").alias("of"), F.col("part").alias("rows_of")).distinct()
+    columns = columns.join(parts, columns["fold"] == parts["of"]).drop("of")
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, m = left.num_rows, right.num_rows
+        if not n or not m:
+            return pa.table({f.split()[0]: [] for f in FORECAST.split(", ")}).cast(out_schema)
+        x = np.concatenate([np.ones((n, 1)), left["x"].combine_chunks().flatten().to_numpy().reshape(n, -1)], axis=1)
+        pos, beta = right["pos"].combine_chunks(), right["beta"].combine_chunks()
+        dense = np.zeros((x.shape[1], m))
+        dense[pos.flatten().to_numpy(), np.repeat(np.arange(m), pc.list_value_length(pos).to_numpy())] = beta.flatten().to_numpy()
+        out = x @ dense
+        if normalise:
+            _, run = np.unique([f"{c}|{name}" for name, c in zip(right["model"].to_pylist(), right["config_id"].to_pylist())],
+                               return_inverse=True)
+            total = np.zeros((n, run.max() + 1))
+            np.add.at(total.T, run, out.T)
+            total[np.abs(total) < 1e-10] = 1.0
+            out = out / total[:, run]
+        a, b = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(np.arange(m), n))
+        made = {c: right[c].take(b) for c in ("model", "config_id", "fold", "asset")} | {c: left[c].take(a) for c in ("t", "day")}
+        return pa.table(made | {"w_hat": out.ravel()}).select([f.split()[0] for f in FORECAST.split(", ")]).cast(out_schema)
+
+    out_schema = pa.schema([(name, ARROW[types.get(name, kind)]) for name, kind in (f.split() for f in FORECAST.split(", "))])
+    return rows.groupBy("fold", "part", "bundle").cogroup(columns.groupBy("fold", "rows_of", "bundle")).applyInArrow(product, schema)
 
 
 def validation_rows(long: DataFrame, cuts: Sequence[int], horizon: int) -> DataFrame:
@@ -256,9 +314,10 @@ def grid_results(per_fold: DataFrame, configs: Sequence[Config], metrics: Sequen
     """F10, second level: mean and sd over folds, next to the parameters of each config."""
     spark = per_fold.sparkSession
     params = spark.createDataFrame(
-        [(c.model, c.config_id, c.lam, c.lam_exog, c.lam_net, c.tau, c.lam_smooth, c.self_free) for c in configs],
+        [(c.model, c.config_id, c.lam, c.lam_exog, c.lam_net, c.tau, c.lam_smooth, c.self_free,
+          c.use_last_day if c.tau is not None else None) for c in configs],
         "model string, config_id int, LAMBDA_LASSO double, LAMBDA_EXOG double, LAMBDA_NETWORK double, "
-        "NETWORK_THRESHOLD double, LAMBDA_TURNOVER double, self_free boolean")
+        "NETWORK_THRESHOLD double, LAMBDA_TURNOVER double, self_free boolean, USE_LAST_DAY boolean")
     means = fold_dispersion(per_fold, ["model", "config_id"], list(metrics))
     keep = [f"mean_{m}" for m in metrics]
     return params.join(means, ["model", "config_id"]).select(*params.columns, "std_val_mse", *keep)

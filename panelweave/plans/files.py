@@ -34,7 +34,7 @@ def _returns(spark, sf):
 def _cache(spark, sf):
     path = scratch_path(spark, "return-cache")
     files.cache_returns(b.trade_returns(spark, sf), path)
-    return files.read_cached_returns(spark, path, "1996-03-01", "1999-10-31").select(
+    return files.read_cached_returns(spark, path).select(
         "day", "bar", "asset", *r("ret", digits=8))
 
 
@@ -50,7 +50,7 @@ def _exog(spark, sf):
 def _edge_store(spark, sf):
     path = scratch_path(spark, "edges")
     files.write_edges(brand_edges(spark, sf), path)
-    return files.read_edges(spark, path, "1998-05-01").select("day", "i", "j")
+    return files.read_edges(spark, path).select("day", "i", "j")
 
 
 def _params(spark, sf):
@@ -87,7 +87,7 @@ def _failed(spark, sf):
 def _predictions(spark, sf):
     path = scratch_path(spark, "predictions")
     files.write_predictions(b.naive_predictions(b.weights(spark, sf)), path)
-    return files.read_predictions(spark, path, ["mean5", "equal"]).select("model", "day", "asset", *r("w_hat", digits=9))
+    return files.read_predictions(spark, path).select("model", "day", "asset", *r("w_hat", digits=9))
 
 
 def _model(spark, sf):
@@ -96,10 +96,9 @@ def _model(spark, sf):
     names = long.select("pos").distinct().withColumn("name", F.lit("n_orders"))
     files.write_model(fm.coefficients(fitted, equations(w)), ft.fit_scaler(long), names, path)
     coefs, scalers, names = files.read_model(spark, path)
-    stored = coefs.filter("model = 'lasso' and pos > 0").join(scalers, "pos").join(names, "pos")
-    return stored.groupBy("config_id", "fold", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("beta") * F.col("sd")), 9).alias("effect"),
-        F.round(F.first("mean"), 6).alias("mean"))
+    stored = coefs.join(scalers, "pos", "left").join(names, "pos", "left")
+    beta = F.when(F.col("pos") == 0, F.round("beta", 7)).otherwise(F.round("beta", 9))
+    return stored.select("model", "config_id", "fold", "asset", "pos", beta.alias("beta"), "name", *r("mean", "sd", digits=6))
 
 
 def _lambda(spark, sf):
@@ -125,8 +124,7 @@ ORACLES = {
     "a01_read_returns": f"""
 WITH {event_returns_cte()} SELECT day, CAST(bar - 1 AS INT) AS bar, asset, round(ret, 8) AS ret FROM rets""",
     "a02_return_cache": f"""
-WITH {trade_returns_cte()} SELECT day, CAST(bar AS INT) AS bar, asset, round(ret, 8) AS ret FROM rets
-WHERE day BETWEEN DATE '1996-03-01' AND DATE '1999-10-31'""",
+WITH {trade_returns_cte()} SELECT day, CAST(bar AS INT) AS bar, asset, round(ret, 8) AS ret FROM rets""",
     "a03_read_exog": """
 WITH od AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS n_orders, avg(o_totalprice) AS avg_price,
                    sum(o_totalprice) AS sum_price,
@@ -134,7 +132,7 @@ WITH od AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS n_order
             FROM orders GROUP BY 1)
 SELECT day, name, round(x, 6) AS x
 FROM (UNPIVOT od ON n_orders, avg_price, sum_price, urgent_share INTO NAME name VALUE x)""",
-    "a05_edge_store": f"WITH {_EDGES} SELECT day, i, j FROM edges WHERE day = DATE '1998-05-01'",
+    "a05_edge_store": f"WITH {_EDGES} SELECT day, i, j FROM edges",
     "a06_parameter_set": f"""
 WITH {weights_cte()}, {predictions_cte()},
 h AS (SELECT day, asset, w, lag(w) OVER (PARTITION BY asset ORDER BY day) AS w_before FROM weights),
@@ -149,10 +147,10 @@ FROM predictions JOIN weights USING (day, asset) GROUP BY model""",
     "a08_failed_days": f"WITH {_TWINS} SELECT day, 'failed' AS status FROM mon WHERE twin",
     "a09_prediction_store": f"""
 WITH {weights_cte()}, {predictions_cte()}
-SELECT model, day, asset, round(w_hat, 9) AS w_hat FROM predictions WHERE model IN ('mean5', 'equal')""",
+SELECT model, day, asset, round(w_hat, 9) AS w_hat FROM predictions""",
     "a10_model_store": f"""
 WITH {_SINGLE}, sc AS (SELECT stddev_pop(x) AS sd, avg(x) AS mean FROM (SELECT DISTINCT t, x FROM z))
-SELECT config_id, fold, 'n_orders' AS name, count(*) AS n, round(sum(slope * sd), 9) AS effect, round(any_value(mean), 6) AS mean
-FROM coef CROSS JOIN sc WHERE model = 'lasso' AND slope <> 0 GROUP BY ALL""",
+SELECT model, config_id, fold, asset, 0 AS pos, round(intercept, 7) AS beta, NULL::VARCHAR AS name, NULL::DOUBLE AS mean, NULL::DOUBLE AS sd FROM coef
+UNION ALL SELECT model, config_id, fold, asset, 1, round(slope, 9), 'n_orders', round(mean, 6), round(sd, 6) FROM coef CROSS JOIN sc WHERE slope <> 0""",
     "a11_published_lambda": SELECTED_SQL,
 }

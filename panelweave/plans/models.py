@@ -44,6 +44,10 @@ FULL = [
     fm.Config("M4", 8, lam=2e-3, lam_exog=5e-4, lam_net=1e-3, tau=TAU, self_free=True),
     fm.Config("M5", 9, lam=3e-4, lam_exog=5e-4, lam_net=1e-3, tau=TAU, self_free=True, lam_smooth=1e-3),
     fm.Config("M5", 10, lam=3e-4, lam_exog=5e-4, lam_net=1e-3, tau=TAU, self_free=True, lam_smooth=1.0),
+    fm.Config("M4", 11, lam=3e-4, lam_exog=5e-4, lam_net=1e-3, tau=TAU, self_free=True, use_last_day=True),
+    fm.Config("M4", 12, lam=3e-4, lam_exog=5e-4, lam_net=1e-3, tau=0.5, self_free=True),
+    fm.Config("M4", 13, lam=3e-4, lam_exog=5e-4, lam_net=1e-3, tau=0.7, self_free=True, use_last_day=True),
+    fm.Config("M4", 14, lam=3e-4, lam_exog=5e-4, lam_net=1e-3, tau=0.9, self_free=True),
 ]
 
 
@@ -73,14 +77,18 @@ def layout_of(k, p=LAGS, n_exog=8):
 
 
 def fold_links(abar, eq, month_cuts):
-    """(fold, i, j, p): network means over the months before each cut, assets numbered."""
+    """(fold, i, j, p, variant): network means over the months before each cut and those of the last one, assets numbered."""
     folds = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(c).alias("cut")) for f, c in enumerate(month_cuts)])
-    means = (abar.select("t", "i", "j", "p", F.inline(folds)).filter(F.col("t") < F.col("cut"))
-             .groupBy("fold", "i", "j", "cut").agg(F.sum("p").alias("p"))
-             .withColumn("p", F.col("p") / (F.col("cut") - 19)))
+    # one pass for both: pairs not linked on a day have no row there
+    sums = (abar.select("t", "i", "j", "p", F.inline(folds)).filter(F.col("t") < F.col("cut"))
+            .groupBy("fold", "i", "j", "cut").agg(
+                F.sum("p").alias("all"), F.sum(F.when(F.col("t") == F.col("cut") - 1, F.col("p"))).alias("last")))
+    means = sums.select("fold", "i", "j", F.inline(F.array(
+        F.struct(F.lit("mean").alias("variant"), (F.col("all") / (F.col("cut") - 19)).alias("p")),
+        F.struct(F.lit("last").alias("variant"), F.col("last").alias("p"))))).filter("p IS NOT NULL")
     ei = eq.select(F.col("asset").alias("i"), F.col("equation").alias("a"))
     ej = eq.select(F.col("asset").alias("j"), F.col("equation").alias("c"))
-    return means.join(ei, "i").join(ej, "j").select("fold", F.col("a").alias("i"), F.col("c").alias("j"), "p")
+    return means.join(ei, "i").join(ej, "j").select("fold", F.col("a").alias("i"), F.col("c").alias("j"), "p", "variant")
 
 
 def asset_links(spark, sf, asset, eq, month_cuts=MONTH_CUTS, threshold=0.1):

@@ -53,18 +53,13 @@ def ranking(spark, sf, models=None):
     return rp.grid_ranking(results).select("place", "model", "config_id", *r("mean_val_mse", digits=9))
 
 
-def _ranking(spark, sf):
-    return rp.grid_ranking(naive_results(spark, sf).filter("model != 'M5'")).select(
-        "place", "model", "config_id", *r("mean_val_mse", digits=9))
-
-
 QUERIES = {
     "h01_lambda_curve": _curve,
     "h02_weight_heatmap": _heatmap,
     "h03_density_turnover": _dual,
     "h04_cumulative_curves": _cumulative,
     "h05_grid_heatmap": _grid_map,
-    "h05_grid_ranking": _ranking,
+    "h05_grid_ranking": ranking,
     "h05_grid_ranking_all": ranking,
 }
 
@@ -91,10 +86,7 @@ SELECT day, round(density, 7) AS density, round(turnover, 7) AS turnover FROM n
 WITH {_NAIVE} SELECT "LAMBDA_LASSO",
 {', '.join(f'round(min(mean_val_mse) FILTER ("NETWORK_THRESHOLD" = {t}), 9) AS tau_{int(100 * t)}' for t in TAUS)}
 FROM grid WHERE model = 'M4' GROUP BY 1""",
-    "h05_grid_ranking": f"""
-WITH {_NAIVE} SELECT CAST(row_number() OVER (ORDER BY g.mean_val_mse, model, config_id) AS INT) AS place, model, config_id,
-       round(mean_val_mse, 9) AS mean_val_mse FROM grid g WHERE model <> 'M5'""",
-    "h05_grid_ranking_all": f"""
+    **dict.fromkeys(("h05_grid_ranking", "h05_grid_ranking_all"), f"""
 WITH {_NAIVE} SELECT CAST(row_number() OVER (ORDER BY round(g.mean_val_mse, 12), model, config_id) AS INT) AS place, model, config_id,
-       round(mean_val_mse, 9) AS mean_val_mse FROM grid g""",
+       round(mean_val_mse, 9) AS mean_val_mse FROM grid g"""),
 }

@@ -118,6 +118,58 @@ def test_lasso_conditions_on_raw_rows(world):
     assert counts[1] > counts[2]
 
 
+def test_last_day_networks_beside_means(world):
+    """Both variants in one call; each equals a single fit with its mask, and they differ."""
+    mean = world["links"].filter("(i = 0 and j = 1) or (i = 2 and j = 3)")
+    last = mean.filter("i = 0").withColumn("p", F.lit(0.9)).unionAll(
+        mean.filter("i = 0").withColumn("i", F.lit(1)).withColumn("j", F.lit(2)).withColumn("p", F.lit(0.9)))
+    both = mean.withColumn("variant", F.lit("mean")).unionAll(last.withColumn("variant", F.lit("last")))
+    spec = {"lam": 1e-3, "lam_exog": 1e-3, "lam_net": 4e-3, "tau": 0.7, "self_free": True}
+    one, two = fm.Config("M4", 1, **spec), fm.Config("M4", 2, **spec, use_last_day=True)
+    got = fm.fit(world["mom"], [one, two], LAYOUT, both, block=3)
+    same(got.filter("config_id = 1"), fm.fit(world["mom"], [one], LAYOUT, mean, block=3))
+    same(got.filter("config_id = 2"), fm.fit(world["mom"], [fm.Config("M4", 2, **spec)], LAYOUT, last, block=3))
+    a, b = betas(got.filter("config_id = 1")), betas(got.filter("config_id = 2"))
+    assert max(np.abs(a[1, f, e][1] - b[2, f, e][1]).max() for _, f, e in a) > 1e-6
+    with pytest.raises(ValueError, match="last day"):
+        fm.fit(world["mom"], [two], LAYOUT, mean)
+
+
+def test_least_squares_of_all_equations_at_once(world):
+    """The plain fit is factored once per fold; a mixture of kinds keeps every row, in blocks or not."""
+    configs = [fm.Config("M1", 0, kind="ols"), fm.Config("M2", 1, lam=2e-3), fm.Config("M2", 2, lam=4e-3)]
+    mixed = fm.fit(world["mom"], configs, LAYOUT, block=2)
+    assert mixed.count() == 3 * 2 * K
+    same(mixed.filter("config_id = 0"), fm.fit(world["mom"], configs[:1], LAYOUT))
+    same(mixed.filter("config_id = 2"), fm.fit(world["mom"], configs[2:], LAYOUT))
+
+
+def test_forecasts_are_blocked_products(spark):
+    """Several blocks of rows and runs, against NumPy; days with a gap or a null get none."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1200, 4))
+    day = dt.date(2001, 1, 1)
+    long = [(f, t, day + dt.timedelta(t), j + 1, float(x[t, j])) for f in (0, 1) for t in range(1200) for j in range(4)
+            if (t, j) != (7, 2)]
+    long = [(f, t, d, j, None if t == 9 and j == 1 else v) for f, t, d, j, v in long]
+    beta = {(m, c, f, a): rng.standard_normal(5) * (rng.random(5) < 0.6) + (np.arange(5) == 0)
+            for m, c in (("A", 1), ("A", 2), ("B", 1)) for f in (0, 1) for a in ("x", "y", "z")}
+    rows = spark.createDataFrame(long, "fold int, t int, day date, pos int, v double")
+    coefs = spark.createDataFrame([(*key, j, float(b[j])) for key, b in beta.items() for j in range(5) if b[j] or j == 0],
+                                  "model string, config_id int, fold int, asset string, pos int, beta double")
+    for normalise in (False, True):
+        got = fm.predict(rows, coefs, normalise).toPandas().set_index(["model", "config_id", "fold", "asset", "t"])["w_hat"]
+        assert len(got) == 18 * 1198 and got.index.is_unique
+        for m, c in (("A", 1), ("A", 2), ("B", 1)):
+            for f in (0, 1):
+                raw = {a: beta[m, c, f, a][0] + x @ beta[m, c, f, a][1:] for a in "xyz"}
+                total = sum(raw.values()) if normalise else 1.0
+                for a in "xyz":
+                    own = got[m, c, f, a]
+                    assert np.allclose(own.to_numpy(), (raw[a] / total)[own.index], rtol=1e-7)
+    assert fm.predict(rows, coefs.filter("false")).count() == 0
+
+
 def same(a, b):
     a, b = betas(a), betas(b)
     for (_, fold, e), (icept, beta) in a.items():
