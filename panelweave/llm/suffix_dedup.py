@@ -240,14 +240,33 @@ def _whole_characters(text: bytes, spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _long_words(length: int, passage: int):
+    """Rows whose text has `length` bytes in a row in which fewer than `passage` words stand whole."""
+    def run(batches):
+        for batch in batches:
+            held = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                inside = np.r_[False, ~_SPACE[np.frombuffer(text, "u1")], False]
+                change = np.flatnonzero(inside[1:] != inside[:-1])
+                # such a stretch reaches from behind a word's start to before the end of the passage-th word after it
+                first, last = np.r_[-1, change[::2]], np.r_[change[1::2], len(text) + 1]
+                ends = last[np.minimum(np.arange(len(first)) + passage - 1, len(last) - 1)]
+                held.append(bool((ends - first - 2 >= length).any()))
+            yield batch.filter(pa.array(held, pa.bool_()))
+    return run
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
     """As `repeats`, of every document that holds what either law removes, spans and all.
 
-    A passage of `passage` words, or a string of `length` bytes, that starts at two places or more:
-    the first misses text without white space, the second passages of short words.  A character that
-    a string's end would cut goes as a whole, so kept is valid text.
+    A passage of `passage` words that starts at two places or more goes; so does a string of `length` bytes, in
+    texts that have so many bytes in a row with fewer whole words than a passage, such as text without white space.
+    (A repeated string with more words holds a repeated passage.)  Both are judged on the input.  A character
+    that a string's end would cut goes as a whole, so kept is valid text.
     """
-    found = repeats(docs, length).unionAll(repeated_words(docs, passage)).select("doc_id", "text_hash", "spans")
+    small_batches(docs.sparkSession)
+    wide = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_long_words(length, passage), "doc_id long, text string")
+    found = repeats(wide, length).unionAll(repeated_words(docs, passage)).select("doc_id", "text_hash", "spans")
     spans = stage(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("raw")), "passages")
     texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
     joined = texts.join(spans, _same(texts, spans)).select(texts["doc_id"], texts["text_hash"], "text", "raw")
