@@ -103,6 +103,8 @@ def moments(rows: DataFrame, cuts: Sequence[int]) -> DataFrame:
     return cells.groupBy("fold", "kind", "i", "j").agg(F.sum("v").alias("v"))
 
 
+#: Sweeps of a block before its open equations are ended by exact steps.
+SWEEPS = 200
 #: Groups (blocks times bundles of paths) of a fold that keep a cluster's tasks busy.
 BUSY = 32
 #: Arrow types of the columns of keys
@@ -121,7 +123,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
     mean over training ('mean') from the last training day ('last'); each config takes its own.  The
     configs of one model form paths of at most `path_length`, solved from the
     largest penalty down with warm starts; paths and blocks run in parallel.
-    `converged` is false where the sweeps of the block ended at their cap.
+    `converged` is false where neither sweeps nor exact steps met the conditions of a block.
     """
     p, k = layout.p, layout.n_assets
     plain = [c for c in configs if c.kind == "ols"]
@@ -189,7 +191,7 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
         for first, c in ((n == 0, c) for run in paths[path::bundles] for n, c in enumerate(run)):
             began = time.perf_counter()
             if first:
-                beta = np.zeros((p, m))
+                beta, before = np.zeros((p, m)), None
             link = network[LAST if c.use_last_day else LINK]
             near = own | (link[asset] >= c.tau) if c.tau is not None else np.ones_like(own)
             keep = np.arange(p) < (p if c.lam_exog is not None else layout.n_lagged)
@@ -201,7 +203,11 @@ def fit(mom: DataFrame, configs: Sequence[Config], layout: Layout, links: DataFr
             if c.kind == "ols":
                 beta[keep], converged = least_squares(g, cross[keep]), True
             else:
-                beta[keep], converged = solve_lasso(g, cross[keep], pen[keep], beta[keep])
+                # the strong rule needs the same Gram matrix and columns as the step before
+                same = before is not None and before[1:] == (c.lam_smooth, keep.sum())
+                start, converged = solve_lasso(g, cross[keep], pen[keep], beta[keep], max_sweeps=SWEEPS,
+                                               before=before[0][keep] if same else None)
+                beta[keep], before = start, (pen, c.lam_smooth, keep.sum())
             beta[~keep] = 0.0
             raw = beta / sd[:, None]
             icept = y_mean - mean @ raw

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from panelweave.functions.kernels import (GAP, blocks, min_variance, newton_precision, optimality_gap, recurrent_forward, soft,
+from panelweave.functions.kernels import (_sweeps, GAP, blocks, min_variance, newton_precision, optimality_gap, recurrent_forward, soft,
                                           solve_component, solve_lasso, sparse_precision,
                                           symmetric, weighted_lasso)
 
@@ -89,6 +89,30 @@ def test_components_are_solved_apart():
     assert np.allclose(again, omega[np.ix_(order, order)], atol=1e-6 * np.abs(omega).max())
 
 
+@pytest.mark.parametrize("seed,corr", [(1, 0.0), (2, 0.4), (3, 0.7)])
+def test_screened_paths_reach_the_same_optimum(seed, corr):
+    """Along a path with the strong rule, against every row swept at once; the conditions hold on all rows."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((300, 60)) * (1 - corr) + corr * rng.standard_normal((300, 1))
+    y = x[:, :6] @ rng.standard_normal((6, 4)) + 0.3 * rng.standard_normal((300, 4))
+    x, y = (x - x.mean(0)) / x.std(0), y - y.mean(0)
+    x[:, 59] = 0.0  # a column without any movement takes no part
+    gram, cross = x.T @ x / 300, x.T @ y / 300
+    weight = rng.uniform(0.5, 2.0, (60, 4))
+    beta, before = np.zeros((60, 4)), None
+    for lam in np.geomspace(1.0, 1e-3, 9):
+        pen = lam * weight
+        beta, done = solve_lasso(gram, cross, pen, beta.copy(), 1e-12, 200, before)
+        assert done
+        if corr < 0.5:  # where plain sweeps get there
+            whole = np.zeros((60, 4))
+            whole[:59] = _sweeps(gram[:59, :59], cross[:59], pen[:59], whole[:59], 1e-11, 5000)[0]
+            assert np.allclose(beta, whole, atol=1e-7)
+        g = cross - gram @ beta
+        assert (np.abs(g) - pen).max() <= 1e-9 and np.abs(np.where(beta != 0, g - pen * np.sign(beta), 0)).max() <= 1e-9
+        before = pen
+
+
 def test_newton_directions_need_no_system_of_cells():
     s = random_cov(150, 400, 8)
     d = np.sqrt(np.diag(s))
@@ -101,8 +125,10 @@ def test_newton_directions_need_no_system_of_cells():
 def test_lasso_says_whether_it_converged():
     rng = np.random.default_rng(8)
     g, c, pen = random_cov(10, 40, 6, 1.0) / 40, rng.standard_normal((10, 2)), np.full((10, 2), 0.01)
-    assert not solve_lasso(g, c, pen, np.zeros((10, 2)), max_sweeps=2)[1]
+    assert not solve_lasso(g, c, pen, np.zeros((10, 2)), max_sweeps=2, exact=1)[1]
+    early, ended = solve_lasso(g, c, pen, np.zeros((10, 2)), max_sweeps=2)
     beta, converged = solve_lasso(g, c, pen, np.zeros((10, 2)))
+    assert ended and np.allclose(early, beta, atol=1e-8)
     assert converged and np.array_equal(beta, weighted_lasso(g, c, pen, np.zeros((10, 2))))
 
 
