@@ -99,7 +99,8 @@ def rolling_network_mean(e: DataFrame, solved_days: DataFrame, window: int = 20)
     Sparse form: an edge counts +1 from its day on and -1 `window` days later; a
     running sum per pair turns the events into spans of constant level, and the
     spans are unfolded over the days they cover. Pairs never linked cost
-    nothing. Returns (t, day, i, j, p), p > 0, for t >= window - 1.
+    nothing. Returns (t, day, i, j, p, n_linked, n_window), p = n_linked / n_window > 0,
+    for t >= window - 1.
     """
     days = solved_days.select("day").distinct().withColumn(
         "t", F.row_number().over(Window.orderBy("day")) - 1)  # calendar only
@@ -116,8 +117,9 @@ def rolling_network_mean(e: DataFrame, solved_days: DataFrame, window: int = 20)
              .withColumn("until", F.least("until", "last"))
              .filter((F.col("level") > 0) & (F.col("from") <= F.col("until"))))
     return (spans.select("i", "j", F.explode(F.sequence("from", "until")).alias("t"),
-                         (F.col("level") / F.lit(float(window))).alias("p"))
-            .join(days, "t").select("t", "day", "i", "j", "p"))
+                         (F.col("level") / F.lit(float(window))).alias("p"),
+                         F.col("level").alias("n_linked"), F.lit(window).alias("n_window"))
+            .join(days, "t").select("t", "day", "i", "j", "p", "n_linked", "n_window"))
 
 
 def network_mask(abar: DataFrame, tau: float = 0.7, use_last_day: bool = False,
@@ -128,7 +130,8 @@ def network_mask(abar: DataFrame, tau: float = 0.7, use_last_day: bool = False,
     linked pairs only, so a day without any link is known from the calendar alone; it
     counts with p = 0 in the average, and as last day it leaves no pair.  Without a
     calendar the days of abar are taken.  `before` keeps only days t < before, so
-    that a fold sees no later network."""
+    that a fold sees no later network.  The average is one division of whole numbers, since a
+    sum of shares may fall on either side of tau by the order of its terms."""
     days = abar if calendar is None else calendar
     if before is not None:
         abar, days = abar.filter(F.col("t") < before), days.filter(F.col("t") < before)
@@ -137,5 +140,6 @@ def network_mask(abar: DataFrame, tau: float = 0.7, use_last_day: bool = False,
         pairs = abar.withColumn("last", last).filter(F.col("t") == F.col("last")).select("i", "j", "p")
     else:
         n = days.agg(F.count_distinct("t")).scalar()
-        pairs = abar.groupBy("i", "j").agg(F.sum("p").alias("p")).withColumn("p", F.col("p") / n)
+        pairs = abar.groupBy("i", "j").agg(F.sum("n_linked").alias("links"), F.max("n_window").alias("width")).select(
+            "i", "j", (F.col("links") / (F.col("width") * n)).alias("p"))
     return pairs.filter(F.col("p") >= tau)

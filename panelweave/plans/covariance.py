@@ -250,7 +250,8 @@ SELECT day, node, round(CASE WHEN degree > 1 THEN coalesce(twice, 0)::DOUBLE / (
        AS clustering FROM deg LEFT JOIN tri USING (day, node)""",
     "c11_rolling_network": f"WITH {_ABAR} SELECT day, i, j, round(p::DOUBLE, 7) AS p FROM abar",
     "c12_network_mask": f"""
-WITH {_ABAR}, x AS (SELECT i, j, sum(p)::DOUBLE / (SELECT count(*) FROM t WHERE t >= 19) AS p FROM abar GROUP BY 1, 2)
+WITH {_ABAR}, x AS (SELECT e.i, e.j, count(*)::DOUBLE / (20 * (SELECT count(*) FROM t WHERE t >= 19)) AS p
+                    FROM t JOIN et e ON e.t BETWEEN t.t - 19 AND t.t WHERE t.t >= 19 GROUP BY 1, 2)
 SELECT i, j, round(p, 9) AS p FROM x WHERE p >= 0.3""",
     "c12_network_mask_last_day": f"""
 WITH {_ABAR} SELECT i, j, round(p::DOUBLE, 9) AS p FROM abar WHERE t = (SELECT max(t) FROM t) AND p >= 0.3""",

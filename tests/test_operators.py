@@ -568,3 +568,15 @@ def test_malformed_return_files_are_read_as_nulls(spark, tmp_path):
     (tmp_path / "9999_99_99_1min_log_return.csv").write_text("a,0.3\n")
     got = {(str(r["day"]), r["asset"], r["bar"], r["ret"]) for r in read_returns(spark, str(tmp_path)).collect()}
     assert got == {("2020-01-02", "a", 0, 0.1), ("2020-01-02", "a", 1, None), ("2020-01-02", "b", None, None), ("None", "a", 0, 0.3)}
+
+
+def test_network_mask_keeps_a_mean_equal_to_tau(spark):
+    from panelweave.operators import network as nw
+    # 200 pairs with 390 links in 65 windows of 20: 0.3, however the sum of the shares would round
+    rng = np.random.default_rng(1)
+    shares = [[int(n) for n in rng.permutation([5, 7] * 32 + [6])] for _ in range(200)]
+    rows = [(t, f"a{k}", "b", n / 20, n, 20) for k, row in enumerate(shares) for t, n in enumerate(row) if n]
+    abar = spark.createDataFrame(rows, "t int, i string, j string, p double, n_linked long, n_window int")
+    assert any(np.cumsum([n / 20 for n in row])[-1] / 65 < 0.3 for row in shares)
+    got = nw.network_mask(abar, 0.3, calendar=spark.range(65).selectExpr("CAST(id AS INT) AS t")).collect()
+    assert {r["i"] for r in got} == {f"a{k}" for k in range(200)} and {r["p"] for r in got} == {0.3}
