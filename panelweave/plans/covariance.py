@@ -85,7 +85,7 @@ def _chain(spark, sf):
 
 
 def _chain_report(spark, sf):
-    # no repairing ridge: the singular months stay failed
+    # 1e-14 repairs a singular month only while its variances are below 0.01
     done = cv.solve_status(cv.glasso(_twin_cov(spark, sf), [0.5], ridges=(0.0, 1e-14)))
     return cv.solve_report(done).select("month", "n_days", "n_failed", *r("solved_share"))
 
@@ -275,8 +275,16 @@ val AS (SELECT day, max(v) FILTER (i = 'F' AND j = 'F') AS a, max(v) FILTER (i =
 score AS (SELECT "lambda", avg(f * f * a + o * o * b + 2 * f * o * c) AS score FROM w CROSS JOIN val GROUP BY "lambda")
 SELECT "lambda", round(score, 7) AS score FROM score ORDER BY score.score, "lambda" DESC LIMIT 1""",
     "c16_solve_report": f"""
-WITH {_TWINS} SELECT day AS month, 1::BIGINT AS n_days, CASE WHEN twin THEN 1 ELSE 0 END::BIGINT AS n_failed,
-       CASE WHEN twin THEN 0.0 ELSE 1.0 END::DOUBLE AS solved_share FROM mon""",
+WITH {trade_returns_cte(PAIR)},
+o AS (SELECT day, bar, max(ret) FILTER (asset = 'O') AS o, max(ret) FILTER (asset = 'F') AS f FROM rets GROUP BY 1, 2),
+twins AS (SELECT day, o, CASE WHEN month(day) % 2 = 0 THEN o ELSE f END AS f FROM o),
+m AS (SELECT day, sum(f * f) AS a, sum(o * o) AS b, sum(f * o) AS c FROM twins GROUP BY day),
+least AS (SELECT day, (a + b) / 2 AS mean, (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c) AS low FROM m),
+ridged AS (SELECT day, low + ridge > 1e-12::DOUBLE * (mean + ridge) AS definite FROM least
+           CROSS JOIN (SELECT unnest([0.0::DOUBLE, 1e-14::DOUBLE]) AS ridge)),
+done AS (SELECT day, bool_or(definite) AS ok FROM ridged GROUP BY day)
+SELECT day AS month, 1::BIGINT AS n_days, CASE WHEN ok THEN 0 ELSE 1 END::BIGINT AS n_failed,
+       CASE WHEN ok THEN 1.0 ELSE 0.0 END::DOUBLE AS solved_share FROM done""",
 }
 
 SELECTED_SQL = ORACLES["c14_lambda_selection"]

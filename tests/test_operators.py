@@ -580,3 +580,19 @@ def test_network_mask_keeps_a_mean_equal_to_tau(spark):
     assert any(np.cumsum([n / 20 for n in row])[-1] / 65 < 0.3 for row in shares)
     got = nw.network_mask(abar, 0.3, calendar=spark.range(65).selectExpr("CAST(id AS INT) AS t")).collect()
     assert {r["i"] for r in got} == {f"a{k}" for k in range(200)} and {r["p"] for r in got} == {0.3}
+
+
+def test_solve_report_and_its_sql_on_small_variances(spark, tmp_path):
+    import duckdb
+    from panelweave.plans import all_oracles, all_queries
+    # February has daily changes of about 0.01, April of about 1; both hold twins
+    lines = [(f"2020-{m:02d}-{d:02d}", s, 1000.0 * (1 + ((7 * d + 5 * k) % 11) * (2 if m == 4 else 1e-3)))
+             for m, last in ((2, 29), (3, 31), (4, 30)) for d in range(1, last + 1) for k, s in enumerate("FO")]
+    spark.createDataFrame(lines, "day string, l_linestatus string, l_extendedprice double").selectExpr(
+        "CAST(day AS timestamp) AS l_shipdate", "l_linestatus", "l_extendedprice", "CAST(0 AS double) AS l_discount"
+    ).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in all_queries()["c16_solve_report"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(all_oracles()["c16_solve_report"]).fetchall())
+    assert [r[2] for r in got] == [0, 0, 1]
