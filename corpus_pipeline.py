@@ -41,10 +41,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     No character is cut.  Two places in one document count, too.  All places go, since strings overlap
     and which of them would stay is no document's own property.
     """
-    cut = _keyed(suffix_dedup.repeated_passages(docs), F.col("text_hash")).select(*KEY, F.col("kept").cast("string").alias("kept"))
-    rows = _keyed(docs.select(*COLUMNS), F.xxhash64(text_or_empty())).join(cut, KEY, "left")
-    return rows.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source",
-                       F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    cut = suffix_dedup.repeated_passages(docs.select(*COLUMNS))
+    return cut.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source",
+                      F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

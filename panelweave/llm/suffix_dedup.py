@@ -35,11 +35,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelweave.llm.minhash import _BASE, _INVERSE, _SPACE, _power, _word_hashes, mix64
 from panelweave.llm.minhash import _pieces as _text_pieces
 from panelweave.llm.text import small_batches, text_or_empty
-from panelweave.sources.scratch import stage
+from panelweave.sources.scratch import drop_staged, stage
 
 LENGTH, Q = 400, 160
 CELL = 32
@@ -190,28 +191,56 @@ def _starts(length: int, size: int, wide: int):
     return run
 
 
-def _cut(edges_of, touch: int):
+def _merged(raw: list[dict], touch: int) -> list[list[int]]:
     """Spans whose distance is below `touch` are one; between words that touch there is white space, which stays."""
+    merged: list[list[int]] = []
+    for s in raw:
+        if merged and s["lo"] < merged[-1][1] + touch:
+            merged[-1][1] = max(merged[-1][1], s["hi"])
+        else:
+            merged.append([s["lo"], s["hi"]])
+    return merged
+
+
+def _outside(text: bytes, spans: list[list[int]]) -> bytes:
+    edges = [0, *(e for s in spans for e in s), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+_SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+
+def _cut(edges_of, touch: int):
     def run(batches):
         for batch in batches:
             spans, kept = [], []
             for text, raw in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                merged: list[list[int]] = []
-                for s in raw:
-                    if merged and s["lo"] < merged[-1][1] + touch:
-                        merged[-1][1] = max(merged[-1][1], s["hi"])
-                    else:
-                        merged.append([s["lo"], s["hi"]])
-                merged = edges_of(text, merged)
-                edges = [0, *(e for m in merged for e in m), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                merged = edges_of(text, _merged(raw, touch))
+                kept.append(_outside(text, merged))
                 spans.append([{"lo": a, "hi": b} for a, b in merged])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                 pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "spans", "kept"])
+                [batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(kept, pa.binary())],
+                names=["doc_id", "text_hash", "spans", "kept"])
     return run
 
 
+def _cut_both(batches):
+    """The rows with what is left of their texts; null where neither law removes anything."""
+    for batch in batches:
+        of_bytes, of_words = (batch.column(name).to_pylist() for name in ("of_bytes", "of_words"))
+        kept: list[bytes | None] = []
+        for text, some, others in zip(batch.column("text"), of_bytes, of_words):
+            if not some and not others:
+                kept.append(None)
+                continue
+            data = text.as_py().encode()
+            every = sorted(_merged(some or [], 1) + _word_edges(data, _merged(others or [], 0)))
+            joined = _merged([{"lo": a, "hi": b} for a, b in every], 1)
+            kept.append(_outside(data, _whole_characters(data, joined)))
+        yield batch.drop_columns(["of_bytes", "of_words"]).append_column(
+            "kept", pa.array(kept, pa.binary()).cast(pa.string()))
+
+
 def _same(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
@@ -257,21 +286,28 @@ def _long_words(length: int, passage: int):
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """As `repeats`, of every document that holds what either law removes, spans and all.
+    """Every row of docs, and kept: what is left of its text where either law removes something, otherwise null.
 
     A passage of `passage` words that starts at two places or more goes; so does a string of `length` bytes, in
     texts that have so many bytes in a row with fewer whole words than a passage, such as text without white space.
     (A repeated string with more words holds a repeated passage.)  Both are judged on the input.  A character
-    that a string's end would cut goes as a whole, so kept is valid text.
+    that a string's end would cut goes as a whole, so kept is valid text.  docs has no columns of_bytes, of_words, kept.
     """
     small_batches(docs.sparkSession)
     wide = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_long_words(length, passage), "doc_id long, text string")
-    found = repeats(wide, length).unionAll(repeated_words(docs, passage)).select("doc_id", "text_hash", "spans")
-    spans = stage(found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("raw")), "passages")
-    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    joined = texts.join(spans, _same(texts, spans)).select(texts["doc_id"], texts["text_hash"], "text", "raw")
-    return joined.dropDuplicates(["doc_id", "text_hash"]).mapInArrow(
-        _cut(_whole_characters, 1), "doc_id long, text_hash long, spans array<struct<lo:long,hi:long>>, kept binary")
+    found = None
+    for rows, size, q, words in ((wide, length, Q, False), (docs, passage, WORD_Q, True)):
+        spans, involved = _places(rows, size, q, words)
+        now = stage(spans.withColumn("words", F.lit(words)), "passages")
+        drop_staged(involved)
+        found = now if found is None else found.unionAll(now)
+    # the spans of a text lie in one row for either law
+    spans = found.groupBy("doc_id", "text_hash").agg(
+        F.first(F.when(~F.col("words"), F.col("raw")), ignorenulls=True).alias("of_bytes"),
+        F.first(F.when(F.col("words"), F.col("raw")), ignorenulls=True).alias("of_words"))
+    texts = docs.withColumn("text_hash", F.xxhash64(text_or_empty()))
+    joined = texts.join(spans, _same(texts, spans), "left").select(*(texts[c] for c in docs.columns), "of_bytes", "of_words")
+    return joined.mapInArrow(_cut_both, StructType([*docs.schema.fields, StructField("kept", StringType())]))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = False) -> DataFrame:
@@ -283,10 +319,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = Fal
     judged on the input; texts shorter than `length` are never touched.  Other columns
     are ignored.  With `words`, `length` and `q` count words.
     """
-    read, edges, touch, wide, size = (_words, _word_edges, 0, 8, WORD_CELL) if words else (_bytes, _byte_edges, 1, 1, CELL)
+    edges, touch = (_word_edges, 0) if words else (_byte_edges, 1)
+    every, involved = _places(docs, length, q, words)
+    joined = involved.join(every, _same(involved, every)).select(involved["doc_id"], involved["text_hash"], "text", "raw")
+    return joined.mapInArrow(
+        _cut(edges, touch), "doc_id long, text_hash long, spans array<struct<lo:long,hi:long>>, kept binary")
+
+
+def _places(docs: DataFrame, length: int, q: int, words: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, raw): the repeated ranges of each document, sorted, in units of the text; and the texts.
+
+    The texts (doc_id, text_hash, text) are a staged table and hold every document that the ranges name.
+    """
+    read, wide, size = (_words, 8, WORD_CELL) if words else (_bytes, 1, CELL)
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    runs = stage(docs.where(F.octet_length("text") >= length).mapInArrow(_find(length, q, read), RUN), "suffix-runs")
+    found = stage(docs.where(F.octet_length("text") >= length).mapInArrow(_find(length, q, read), RUN), "suffix-runs")
+    # nearly all buckets hold one run, whose strings are nowhere else; they leave before anything wide is dealt out
+    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    runs = stage(found.join(shared, "h", "left_semi"), "suffix-shared")
+    drop_staged(found)
     where = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash", "lo", "n", "a")
     classes = stage(runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(where).alias("rep")), "suffix-classes")
     whole = runs.join(classes.where("m > 1").select("h", "c"), ["h", "c"]).select(
@@ -318,6 +370,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = Fal
     left = todo.groupBy("run").agg(F.collect_list("cell").alias("cells"))
     starts = stage(covers.drop("active").join(left, "run").mapInArrow(
         _starts(length, size, wide), "run long, offset int, one long, two long, active boolean"), "suffix-starts")
+    drop_staged(covers, runs, classes)
     equal = starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("k"), F.max("active").alias("any")).where("k > 1 AND any")
     same = starts.where("active").join(equal.select("one", "two"), ["one", "two"]).select(
         "run", F.col("offset").alias("near"), F.col("offset").alias("far"))
@@ -329,6 +382,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = Fal
 
     every = spans.unionByName(partial).groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("raw"))
-    joined = involved.join(every, _same(involved, every)).select(involved["doc_id"], involved["text_hash"], "text", "raw")
-    return joined.mapInArrow(
-        _cut(edges, touch), "doc_id long, text_hash long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return every, involved

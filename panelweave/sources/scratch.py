@@ -35,3 +35,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; what was staged from them stays, being files of its own."""
+    for df in tables:
+        spark = df.sparkSession
+        inside = f"{scratch_root(spark)}/panelweave/".removeprefix("file:").lstrip("/")
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if not folder.removeprefix("file:").lstrip("/").startswith(inside):
+                raise ValueError(f"{folder} is no staged table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

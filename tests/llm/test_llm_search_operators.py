@@ -1,6 +1,7 @@
 """Near-duplicates, repeats, classifier, HTML, nearest neighbours and the pipeline against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from bisect import bisect_left, bisect_right
@@ -402,3 +403,21 @@ def test_pipeline_edges(spark, sf_dir):
         for name, step in corpus_pipeline.STAGES:
             table = corpus_pipeline.stage(step(spark, table, sf_dir), name)
         assert table.count() == (1 if data else 0) or data and table.count() > 0
+
+
+def test_runs_of_one_are_not_dealt_out(spark, monkeypatch):
+    """Buckets of one run leave before classes are made, and tables that were superseded are gone."""
+    rng = random.Random(5)
+    shared = prose(rng, 120)
+    rows, counts, tables = [(k, prose(rng, 200) + (shared if k < 2 else "")) for k in range(30)], {}, {}
+
+    def counted(df, name, stage=suffix_dedup.stage):
+        tables[name] = stage(df, name)
+        counts[name] = tables[name].count()
+        return tables[name]
+
+    monkeypatch.setattr(suffix_dedup, "stage", counted)
+    assert {r["doc_id"] for r in suffix_dedup.repeats(docs(spark, rows)).collect()} == {0, 1}
+    assert 0 < counts["suffix-classes"] < counts["suffix-runs"] / 4
+    for name in ("suffix-runs", "suffix-classes", "suffix-covers"):
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in tables[name].inputFiles())
