@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from panelweave.llm.text import small_batches, text_or_empty
 
-#: Chunks of text whose ids are held between batches.
-CACHE_CHUNKS = 400_000
+#: Chunks of text whose ids are held between batches.  Workers outlive their stage, so this stays with the executor.
+CACHE_CHUNKS = 100_000
 #: Texts are joined into flat arrays of about so many words at a time.
 GROUP_CHARS = 8_000_000
 

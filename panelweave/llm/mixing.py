@@ -22,7 +22,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.sources.scratch import stage
@@ -55,6 +56,12 @@ def cyclic_weights(sources: list) -> dict:
     return {s: k % 3 + 1 for k, s in enumerate(order)}
 
 
+def _table(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A small table of the driver's; from Arrow, since a list of rows starts Python workers of another kind on the executors."""
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def _rate(lam: Column, scaled: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(lam * scaled, F.lit(700.0))))
 
@@ -74,8 +81,8 @@ def solve(sizes: DataFrame, wanted: dict, totals: dict, cap: float, tolerance: f
     for _ in range(most):
         if not live:
             break
-        now = spark.createDataFrame([(s, lam[s], totals[s][0] / totals[s][1]) for s in sorted(live, key=lambda s: (s is None, s or ""))],
-                                    "src string, lam double, mean double")
+        now = _table(spark, [(s, lam[s], totals[s][0] / totals[s][1]) for s in sorted(live, key=lambda s: (s is None, s or ""))],
+                     {"src": pa.string(), "lam": pa.float64(), "mean": pa.float64()})
         joined = sizes.join(F.broadcast(now), F.col("source").eqNullSafe(F.col("src")))
         rate = _rate(F.col("lam"), F.col("size") / F.col("mean"), cap)
         tilted = F.col("n") * F.col("size") * rate
@@ -137,9 +144,10 @@ def mix(sized: DataFrame, weights=cyclic_weights, cap: int = CAP, most_sources:
     totals = {r["source"]: (r["tokens"], r["n"]) for r in found}
     wanted = targets({s: t for s, (t, _) in totals.items()}, weights(list(totals)), cap)
     lam = solve(counts, wanted, totals, cap)
-    table = sized.sparkSession.createDataFrame(
-        [(s, lam[s], t / n if t else 1.0, t, wanted[s], -(-n // BUCKET_ROWS)) for s, (t, n) in totals.items()],
-        "src string, lam double, mean double, source_size long, target double, buckets long")
+    table = _table(
+        sized.sparkSession, [(s, lam[s], t / n if t else 1.0, t, wanted[s], -(-n // BUCKET_ROWS)) for s, (t, n) in totals.items()],
+        {"src": pa.string(), "lam": pa.float64(), "mean": pa.float64(), "source_size": pa.int64(), "target": pa.float64(),
+         "buckets": pa.int64()})
     rated = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("src"))).select(
         "doc_id", "source", "size", "source_size", "target",
         _rate(F.col("lam"), F.col("size") / F.col("mean"), cap).alias("rate"),

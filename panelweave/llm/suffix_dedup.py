@@ -46,7 +46,7 @@ LENGTH, Q = 400, 160
 CELL = 32
 #: Passages of over 50 words.
 PASSAGE, WORD_Q, WORD_CELL = 51, 20, 8
-PIECE = 1_000_000  # starts handled at a time; positions must fit 24 bits
+PIECE = 200_000  # starts handled at a time, by many arrays as long; positions must fit 24 bits
 RUN = "h long, c long, doc_id long, text_hash long, lo long, n int, a int"
 
 

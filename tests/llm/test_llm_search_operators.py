@@ -4,10 +4,12 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,3 +423,15 @@ def test_runs_of_one_are_not_dealt_out(spark, monkeypatch):
     assert 0 < counts["suffix-classes"] < counts["suffix-runs"] / 4
     for name in ("suffix-runs", "suffix-classes", "suffix-covers"):
         assert not any(os.path.exists(f.removeprefix("file://")) for f in tables[name].inputFiles())
+
+
+def test_runs_are_found_in_little_memory():
+    rng = random.Random(5)
+    texts = [prose(rng, 700) for _ in range(512)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(512)), pa.array(range(512)), pa.array(texts)], names=["doc_id", "text_hash", "text"])
+    for length, q, read in ((400, 160, suffix_dedup._bytes), (51, 20, suffix_dedup._words)):
+        tracemalloc.start()
+        n = sum(r.num_rows for r in suffix_dedup._find(length, q, read)([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 5000 and peak < 40 << 20

@@ -198,3 +198,19 @@ def test_bpe_merges_one_by_one():
             s[k:k + 2] = [int(rank[s[k], s[k + 1]][1])]
         assert ids[at:at + n].tolist() == s
         at += n
+
+
+def test_bpe_holds_few_chunks():
+    encoder = bpe.Encoder(bpe.vocabulary(tokenizer_path()))
+    for k in range(0, 140_000, 20_000):
+        encoder.encode([" ".join(map(str, range(k, k + 20_000)))])
+        assert len(encoder.number) < 125_000
+
+
+def test_mix_makes_no_table_of_pickled_rows(spark, monkeypatch):
+    made = []
+    plain = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(type(data)) or plain(self, data, *a, **k))
+    sized = spark.sql("SELECT id AS doc_id, IF(id % 3 = 0, null, 'a') AS source, id % 50 AS size FROM range(600)")
+    assert mixing.mix(sized).count() == 600
+    assert made and list not in made
