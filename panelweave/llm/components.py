@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.sources.scratch import stage
+from panelweave.sources.scratch import drop_staged, stage
 
 
 def _flat(edges: DataFrame) -> bool:
@@ -23,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, then does the same among the smaller ones.  The forest flattens in a
     logarithmic number of rounds; each is written to the shared folder.  Neighbours
     are never gathered: only minima are, which are combined before the shuffle.
+    What is returned reads one staged table, the last round's.
     """
     # u > v throughout
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -35,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(hung.select("u", F.col("m").alias("v")))
-        edges = stage(small.where("u <> v").distinct(), "small-star")
+        edges, old = stage(small.where("u <> v").distinct(), "small-star"), edges
+        drop_staged(old, large)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.components import components
 from panelweave.llm.text import small_batches, text_or_empty
-from panelweave.sources.scratch import stage
+from panelweave.sources.scratch import drop_staged, stage
 
 BANDS, ROWS = 28, 4
 GROUP_BYTES = 400_000
@@ -234,10 +234,8 @@ def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("node", "text").dropDuplicates(["node"])
 
 
-def _with_texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b and one text of each class."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = stage(_texts(needed, classes, docs), "near-texts")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
@@ -283,7 +281,7 @@ def _bounds(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -
 
 
 def _mixed_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold two components or more, with their labels."""
+    """The rows of buckets that hold two components or more, with their labels, as a staged table."""
     rows = rows.drop("label")
     if labels is None:
         now = rows.withColumn("label", F.col("node"))
@@ -326,12 +324,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sketch = stage(keyed.mapInArrow(
+    wide = stage(keyed.mapInArrow(
         _sketch(width), "doc_id long, text_hash long, node binary, n long, bands array<long>, signature array<int>, parity array<long>"), "near-sketch")
     rep = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    classes = stage(sketch.where("node IS NOT NULL").groupBy("node").agg(
+    classes = stage(wide.where("node IS NOT NULL").groupBy("node").agg(
         F.min(rep).alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"),
         F.first("parity").alias("parity")), "near-classes")
+    sketch = stage(wide.select("doc_id", "text_hash", "node", "n"), "near-sets")
+    drop_staged(wide)
     tried = links = labels = None
 
     def link(pairs: DataFrame) -> None:
@@ -341,25 +341,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
         if pairs.isEmpty():
+            drop_staged(pairs)
             return
-        done = stage(_with_texts(pairs, classes, docs).mapInArrow(
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = stage(_texts(needed, classes, docs), "near-texts")
+        done = stage(_with_texts(pairs, texts).mapInArrow(
             _confirm(width, percent), "a binary, b binary, linked boolean"), "near-confirmed")
+        drop_staged(pairs, texts)
         tried = done.select("a", "b") if tried is None else tried.unionAll(done.select("a", "b"))
         found = done.where("linked").select("a", "b")
         links = found if links is None else links.unionAll(found)
-        labels = stage(components(links), "near-labels")
+        parts, old = components(links), labels
+        labels = stage(parts, "near-labels")
+        drop_staged(parts, *([] if old is None else [old]))
+
+    def still_open(rows: DataFrame, *done: DataFrame) -> DataFrame:
+        now = _mixed_buckets(rows, labels)
+        drop_staged(*done)
+        return now
 
     # a bucket of one component stays one, so only open ones go on
     rows = _mixed_buckets(classes.select("node", "n", F.explode("bands").alias("key")), labels)
     for turn in range(PIVOT_ROUNDS):
         plain = rows.withColumns({"own": F.lit(0).cast("long"), "parity": F.array().cast("array<long>")})
         link(_pairs(plain, percent, F.xxhash64("node", F.lit(turn))))
-        rows = _mixed_buckets(rows, labels)
+        rows = still_open(rows, rows)
     marks = classes.join(rows.select("node", "label").distinct(), "node").select("node", "n", "label", "signature")
-    rows = _mixed_buckets(marks.mapInArrow(_reband, "node binary, n long, label binary, key long"), labels)
+    rows = still_open(marks.mapInArrow(_reband, "node binary, n long, label binary, key long"), rows)
     bounds = stage(_bounds(rows.select("node").distinct(), classes, docs, width), "near-bounds")
     link(_pairs(rows.join(bounds, "node"), percent, F.col("own") / F.col("n")))
-    link(_pairs(_mixed_buckets(rows, labels).join(bounds, "node"), percent))
+    rows = still_open(rows, rows)
+    link(_pairs(rows.join(bounds, "node"), percent))
+    drop_staged(rows, bounds)
 
     plain = classes.select("node", "rep.doc_id")
     if labels is not None:
@@ -370,5 +383,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         plain = plain.withColumnRenamed("doc_id", "component_id")
     out = sketch.select("doc_id", "text_hash", "node", "n").join(plain, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    found = stage(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
+                             F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")), "near-found")
+    drop_staged(sketch, classes, *(t for t in (tried, labels) if t is not None))
+    return found

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.sources.scratch import stage
+from panelweave.sources.scratch import drop_staged, stage
 
 CAP = 3
 BUCKET_ROWS = 2000
@@ -144,6 +144,7 @@ def mix(sized: DataFrame, weights=cyclic_weights, cap: int = CAP, most_sources:
     totals = {r["source"]: (r["tokens"], r["n"]) for r in found}
     wanted = targets({s: t for s, (t, _) in totals.items()}, weights(list(totals)), cap)
     lam = solve(counts, wanted, totals, cap)
+    drop_staged(counts)
     table = _table(
         sized.sparkSession, [(s, lam[s], t / n if t else 1.0, t, wanted[s], -(-n // BUCKET_ROWS)) for s, (t, n) in totals.items()],
         {"src": pa.string(), "lam": pa.float64(), "mean": pa.float64(), "source_size": pa.int64(), "target": pa.float64(),

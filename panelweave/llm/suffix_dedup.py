@@ -298,8 +298,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASS
     found = None
     for rows, size, q, words in ((wide, length, Q, False), (docs, passage, WORD_Q, True)):
         spans, involved = _places(rows, size, q, words)
-        now = stage(spans.withColumn("words", F.lit(words)), "passages")
         drop_staged(involved)
+        now = spans.withColumn("words", F.lit(words))
         found = now if found is None else found.unionAll(now)
     # the spans of a text lie in one row for either law
     spans = found.groupBy("doc_id", "text_hash").agg(
@@ -329,7 +329,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = Fal
 def _places(docs: DataFrame, length: int, q: int, words: bool) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, raw): the repeated ranges of each document, sorted, in units of the text; and the texts.
 
-    The texts (doc_id, text_hash, text) are a staged table and hold every document that the ranges name.
+    Both are staged tables; the texts (doc_id, text_hash, text) are of every document that the ranges name.
     """
     read, wide, size = (_words, 8, WORD_CELL) if words else (_bytes, 1, CELL)
     small_batches(docs.sparkSession)
@@ -350,6 +350,7 @@ def _places(docs: DataFrame, length: int, q: int, words: bool) -> tuple[DataFram
     # the number of a run is fixed by writing it
     open_ = stage(open_.withColumn("run", F.monotonically_increasing_id()), "suffix-open")
     spans = stage(whole.distinct(), "suffix-whole")
+    drop_staged(runs, classes)
 
     keys = open_.select("doc_id", "text_hash").union(spans.select("doc_id", "text_hash")).distinct()
     involved = stage(docs.join(keys, _same(docs, keys), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "suffix-texts")
@@ -370,7 +371,7 @@ def _places(docs: DataFrame, length: int, q: int, words: bool) -> tuple[DataFram
     left = todo.groupBy("run").agg(F.collect_list("cell").alias("cells"))
     starts = stage(covers.drop("active").join(left, "run").mapInArrow(
         _starts(length, size, wide), "run long, offset int, one long, two long, active boolean"), "suffix-starts")
-    drop_staged(covers, runs, classes)
+    drop_staged(covers)
     equal = starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("k"), F.max("active").alias("any")).where("k > 1 AND any")
     same = starts.where("active").join(equal.select("one", "two"), ["one", "two"]).select(
         "run", F.col("offset").alias("near"), F.col("offset").alias("far"))
@@ -380,6 +381,7 @@ def _places(docs: DataFrame, length: int, q: int, words: bool) -> tuple[DataFram
         "doc_id", "text_hash", (F.col("lo") + F.col("a") - F.col("far")).alias("lo"),
         (F.col("lo") + F.col("a") - F.col("near") + length).alias("hi"))
 
-    every = spans.unionByName(partial).groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("raw"))
+    every = stage(spans.unionByName(partial).groupBy("doc_id", "text_hash").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("raw")), "suffix-spans")
+    drop_staged(open_, spans, cells, alike, starts)
     return every, involved

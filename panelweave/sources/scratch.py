@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files go when it ends; otherwise they stay until the driver collects garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only in local mode."""
@@ -30,11 +33,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     Used between stages whose input is expensive (Python kernels are opaque to
     the optimiser and would run again for every consumer).  A written table,
-    unlike a cached one, also survives the loss of executors.
+    unlike a cached one, also survives the loss of executors.  What was shuffled
+    for it goes at once: the table is read from now on.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(*tables: DataFrame) -> None:

@@ -1,9 +1,12 @@
 """Near-duplicates, repeats, classifier, HTML, nearest neighbours and the pipeline against brute force."""
 
+import glob
 import hashlib
 import os
 import random
 import re
+import tempfile
+import time
 import tracemalloc
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelweave.llm import components, html_mincut, minhash, projected_ann, pu_quality, suffix_dedup
 from panelweave.llm.queries import QUERIES
+from panelweave.sources.scratch import SHUFFLES_GO, scratch_path, stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -103,6 +107,43 @@ def test_parities_never_exceed_the_difference():
             assert odd <= apart and (apart - odd) % 2 == 0
 
 
+def staged_tables(spark) -> set[str]:
+    folder = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_only_results_stay_staged(spark):
+    """Superseded tables go as soon as nothing reads them; what is left is read by the result."""
+    before = staged_tables(spark)
+    found = minhash.near_duplicates(docs(spark, near_rows()))
+    assert [name.rsplit("-", 1)[0] for name in staged_tables(spark) - before] == ["near-found"]
+    assert found.where("kept").count() > 1
+    before = staged_tables(spark)
+    cut = suffix_dedup.repeated_passages(docs(spark, passage_rows()[0]))
+    assert [name.rsplit("-", 1)[0] for name in staged_tables(spark) - before] == ["suffix-spans"] * 2
+    assert cut.where("kept IS NOT NULL").count() > 1
+
+
+def test_staging_keeps_no_shuffles(spark):
+    def files():
+        return {f for d in roots for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*") + glob.glob(f"{d}/*/blockmgr-*/*/shuffle_*")}
+
+    roots = (os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())).split(",")
+    setting = spark.conf.get(SHUFFLES_GO)
+    before = files()
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    sums.collect()
+    assert files() - before  # as long as the driver collects no garbage
+    before = files()
+    table = stage(sums, "sums")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(SHUFFLES_GO) == setting
+    assert table.count() == 7 and sums.count() == 7
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert [r["kept"] for r in minhash.near_duplicates(docs(spark, [(1, None)])).collect()] == [True]
