@@ -67,7 +67,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of what they decode to."""
     path = tokenizer_path()
-    encoded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    encoded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -258,6 +258,26 @@ def _decode(path: str):
     return run
 
 
+def _both(path: str):
+    """Encode and decode in one pass."""
+    def twice(batches):
+        for batch in batches:
+            yield batch.append_column("__ids", batch.column("ids"))
+
+    def run(batches):
+        return _decode(path)(twice(_encode(path)(batches)))
+    return run
+
+
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """decode(encode(docs, path), path) in one Python worker a task instead of two, each with its own vocabulary."""
+    small_batches(docs.sparkSession)
+    own = [c for c in docs.columns if c.lower() not in ("text", "ids", "decoded")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+    rows = docs.select(*own, text_or_empty().alias("text"))
+    return rows.mapInArrow(_both(path), f"{schema}{', ' if own else ''}ids array<int>, decoded string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with `decoded`: the tokens of `ids` joined as the file, which names no decoder, asks for."""
     own = [c for c in encoded.columns if c.lower() not in ("ids", "decoded")]

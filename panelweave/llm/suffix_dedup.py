@@ -294,13 +294,16 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASS
     that a string's end would cut goes as a whole, so kept is valid text.  docs has no columns of_bytes, of_words, kept.
     """
     small_batches(docs.sparkSession)
-    wide = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_long_words(length, passage), "doc_id long, text string")
+    # staged, so that no task needs a second Python worker for what follows
+    wide = stage(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
+        _long_words(length, passage), "doc_id long, text string"), "wide-texts")
     found = None
     for rows, size, q, words in ((wide, length, Q, False), (docs, passage, WORD_Q, True)):
         spans, involved = _places(rows, size, q, words)
         drop_staged(involved)
         now = spans.withColumn("words", F.lit(words))
         found = now if found is None else found.unionAll(now)
+    drop_staged(wide)
     # the spans of a text lie in one row for either law
     spans = found.groupBy("doc_id", "text_hash").agg(
         F.first(F.when(~F.col("words"), F.col("raw")), ignorenulls=True).alias("of_bytes"),

@@ -17,8 +17,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelweave.llm import components, html_mincut, minhash, projected_ann, pu_quality, suffix_dedup
-from panelweave.llm.queries import QUERIES
+from panelweave.llm import bpe, components, html_mincut, minhash, projected_ann, pu_quality, suffix_dedup
+from panelweave.llm.queries import QUERIES, tokenizer_path
 from panelweave.sources.scratch import SHUFFLES_GO, scratch_path, stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -144,6 +144,25 @@ def test_staging_keeps_no_shuffles(spark):
     assert table.count() == 7 and sums.count() == 7
 
 
+def test_one_python_worker_a_task(spark, sf_dir, monkeypatch):
+    """Two steps in Python in one plan without a shuffle between them hold two workers a task."""
+    plans = []
+
+    def noted(df, name, real=stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stage", noted)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut = suffix_dedup.repeated_passages(table)
+    coded = corpus_pipeline.tokens(spark, table, sf_dir)
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (cut, coded)]
+    assert [plan.count("MapInArrow") for plan in plans if "MapInArrow" in plan] and all(plan.count("MapInArrow") < 2 for plan in plans)
+    apart = bpe.decode(bpe.encode(table.select("doc_id", "text"), tokenizer_path()), tokenizer_path())
+    want = {r["doc_id"]: (r["ids"], hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in apart.collect()}
+    assert {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in coded.collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert [r["kept"] for r in minhash.near_duplicates(docs(spark, [(1, None)])).collect()] == [True]
