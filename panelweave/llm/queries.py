@@ -78,19 +78,23 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that start twice or more."""
+    """Every document without the bytes of 400-byte strings that start twice or more.
+
+    text is what is left; a character that a string's end cuts shows as U+FFFD there, not in kept_sha256.
+    """
     docs = _table(spark, sf_dir, "documents")
     text = text_or_empty()
     base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"),
-                       F.sha2(text, 256).alias("whole_sha256"))
+                       F.sha2(text, 256).alias("whole_sha256"), text.alias("whole"))
     cut = suffix_dedup.repeats(docs).select(
         F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.size("spans").cast("long").alias("n_spans"),
-        F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("cut_sha256"))
+        F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("cut_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("cut_text"))
     joined = base.join(cut, base["doc_id"].eqNullSafe(cut["id"]) & (base["text_hash"] == cut["hash"]), "left")
     return joined.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
+        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"), F.coalesce("cut_text", "whole").alias("text"))
 
 
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,13 @@ def test_repeat_query(spark, sf_dir):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), gone, n, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeat_query_returns_the_text(spark, sf_dir):
+    got = {r["doc_id"]: r["text"] for r in QUERIES["op2_suffix_dedup"](spark, sf_dir).collect()}
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = {i: kept.decode(errors="replace") for (i, _), (_, kept, _) in zip(rows, repeats_brute([t for _, t in rows], 400))}
+    assert got == want and any(got[i] != t.decode() for i, t in rows)
+
+
 def repeated_words_brute(texts, length=51):
     split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
     grams = [[tuple(t[a:b] for a, b in w[k:k + length]) for k in range(len(w) - length + 1)] for t, w in zip(texts, split)]
