@@ -78,23 +78,21 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that start twice or more.
+    """Every document without the bytes of 400-byte strings that start twice or more, and without long passages.
 
-    text is what is left; a character that a string's end cuts shows as U+FFFD there, not in kept_sha256.
+    The columns up to text are of the 400-byte strings alone; text is what is left, and a character that a string's
+    end cuts shows as U+FFFD there, not in kept_sha256.  n_passages counts the maximal ranges of passages of 51 words
+    that start twice or more, however few bytes they have; rest is what is left without them and the strings.
     """
-    docs = _table(spark, sf_dir, "documents")
-    text = text_or_empty()
-    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("long").alias("n_bytes"),
-                       F.sha2(text, 256).alias("whole_sha256"), text.alias("whole"))
-    cut = suffix_dedup.repeats(docs).select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.size("spans").cast("long").alias("n_spans"),
-        F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("cut_sha256"),
-        F.make_valid_utf8(F.col("kept").cast("string")).alias("cut_text"))
-    joined = base.join(cut, base["doc_id"].eqNullSafe(cut["id"]) & (base["text_hash"] == cut["hash"]), "left")
-    return joined.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"), F.coalesce("cut_text", "whole").alias("text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    n_bytes = F.octet_length("text").cast("long")
+    kept = F.coalesce("kept", F.col("text").cast("binary"))
+    return suffix_dedup.repeats_and_passages(docs).select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length(kept)).alias("n_removed"),
+        F.coalesce(F.array_size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"),
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string"))).alias("text"),
+        F.coalesce(F.array_size("passages"), F.lit(0)).cast("long").alias("n_passages"),
+        F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.make_valid_utf8(F.col("rest").cast("string"))).alias("rest"))
 
 
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from panelweave.llm.minhash import _BASE, _INVERSE, _SPACE, _power, _word_hashes, mix64
 from panelweave.llm.minhash import _pieces as _text_pieces
@@ -241,6 +241,26 @@ def _cut_both(batches):
             "kept", pa.array(kept, pa.binary()).cast(pa.string()))
 
 
+def _cut_apart(batches):
+    """The rows with the ranges of either law, what the first leaves and what both leave; null where nothing goes."""
+    for batch in batches:
+        of_bytes, of_words = (batch.column(name).to_pylist() for name in ("of_bytes", "of_words"))
+        spans, kept, passages, rest = [], [], [], []
+        for text, some, others in zip(batch.column("text").cast(pa.binary()), of_bytes, of_words):
+            data = text.as_py() if some or others else b""
+            strings, words = _merged(some or [], 1), _word_edges(data, _merged(others or [], 0))
+            both = _merged([{"lo": a, "hi": b} for a, b in sorted(strings + words)], 1)
+            spans.append([{"lo": a, "hi": b} for a, b in strings] or None)
+            kept.append(_outside(data, strings) if strings else None)
+            passages.append([{"lo": a, "hi": b} for a, b in words] or None)
+            rest.append(_outside(data, _whole_characters(data, both)) if both else None)
+        batch = batch.drop_columns(["of_bytes", "of_words"])
+        for name, values, kind in (("spans", spans, _SPANS), ("kept", kept, pa.binary()),
+                                   ("passages", passages, _SPANS), ("rest", rest, pa.binary())):
+            batch = batch.append_column(name, pa.array(values, kind))
+        yield batch
+
+
 def _same(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
 
@@ -258,7 +278,7 @@ def _whole_characters(text: bytes, spans: list[list[int]]) -> list[list[int]]:
     """Spans that would cut a character take all of it."""
     out: list[list[int]] = []
     for lo, hi in spans:
-        while text[lo] & 0xC0 == 0x80:
+        while lo and text[lo] & 0xC0 == 0x80:
             lo -= 1
         while hi < len(text) and text[hi] & 0xC0 == 0x80:
             hi += 1
@@ -297,20 +317,44 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASS
     # staged, so that no task needs a second Python worker for what follows
     wide = stage(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
         _long_words(length, passage), "doc_id long, text string"), "wide-texts")
-    found = None
-    for rows, size, q, words in ((wide, length, Q, False), (docs, passage, WORD_Q, True)):
-        spans, involved = _places(rows, size, q, words)
-        drop_staged(involved)
-        now = spans.withColumn("words", F.lit(words))
-        found = now if found is None else found.unionAll(now)
+    of_bytes = _spans(wide, length, Q, words=False)
     drop_staged(wide)
+    of_words = _spans(docs, passage, WORD_Q, words=True)
+    return _with_spans(docs, of_bytes, of_words).mapInArrow(
+        _cut_both, StructType([*docs.schema.fields, StructField("kept", StringType())]))
+
+
+def repeats_and_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """Every row of docs, and spans, kept, passages, rest; null where nothing goes.
+
+    spans and kept are those of `repeats`: strings of `length` bytes.  passages are the ranges of `repeated_words`,
+    however few bytes they have.  rest is what is left of the text without either, and takes a character that a
+    range's end would cut as a whole.  Both laws are judged on the input, over all texts.  docs has none of these
+    columns, nor of_bytes, of_words.
+    """
+    small_batches(docs.sparkSession)
+    of_bytes = _spans(docs, length, Q, words=False)
+    of_words = _spans(docs, passage, WORD_Q, words=True)
+    ranges = ArrayType(StructType([StructField("lo", LongType()), StructField("hi", LongType())]))
+    return _with_spans(docs, of_bytes, of_words).mapInArrow(_cut_apart, StructType([
+        *docs.schema.fields, StructField("spans", ranges), StructField("kept", BinaryType()),
+        StructField("passages", ranges), StructField("rest", BinaryType())]))
+
+
+def _spans(docs: DataFrame, length: int, q: int, words: bool) -> DataFrame:
+    spans, involved = _places(docs, length, q, words)
+    drop_staged(involved)
+    return spans.withColumn("words", F.lit(words))
+
+
+def _with_spans(docs: DataFrame, of_bytes: DataFrame, of_words: DataFrame) -> DataFrame:
+    """Every row of docs with the ranges of either law: of_bytes in bytes, of_words in words."""
     # the spans of a text lie in one row for either law
-    spans = found.groupBy("doc_id", "text_hash").agg(
+    spans = of_bytes.unionAll(of_words).groupBy("doc_id", "text_hash").agg(
         F.first(F.when(~F.col("words"), F.col("raw")), ignorenulls=True).alias("of_bytes"),
         F.first(F.when(F.col("words"), F.col("raw")), ignorenulls=True).alias("of_words"))
     texts = docs.withColumn("text_hash", F.xxhash64(text_or_empty()))
-    joined = texts.join(spans, _same(texts, spans), "left").select(*(texts[c] for c in docs.columns), "of_bytes", "of_words")
-    return joined.mapInArrow(_cut_both, StructType([*docs.schema.fields, StructField("kept", StringType())]))
+    return texts.join(spans, _same(texts, spans), "left").select(*(texts[c] for c in docs.columns), "of_bytes", "of_words")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, words: bool = False) -> DataFrame:

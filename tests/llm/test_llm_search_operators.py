@@ -259,6 +259,15 @@ def test_repeat_query_returns_the_text(spark, sf_dir):
     assert got == want and any(got[i] != t.decode() for i, t in rows)
 
 
+def word_spans_brute(texts, text, length=51):
+    def grams(t):
+        w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)]
+        return [(w[k][0], w[k + length - 1][1], tuple(t[a:b] for a, b in w[k:k + length])) for k in range(len(w) - length + 1)]
+
+    count = Counter(g for t in texts for _, _, g in grams(t))
+    return [(a, b) for a, b, g in grams(text) if count[g] > 1]
+
+
 def repeated_words_brute(texts, length=51):
     split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
     grams = [[tuple(t[a:b] for a, b in w[k:k + length]) for k in range(len(w) - length + 1)] for t, w in zip(texts, split)]
@@ -320,6 +329,26 @@ def test_repeated_words(spark):
     assert suffix_dedup.repeated_words(docs(spark, [])).count() == 0
 
 
+def test_repeat_query_finds_passages_of_short_words(spark, tmp_path):
+    """Passages of over 50 words are found below 400 bytes, too; the columns of the contract know only strings of 400."""
+    rows, short = passage_rows()
+    rows += [(100 + k, t) for k, t in repeat_rows()[:-2]]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op2_suffix_dedup"](spark, str(tmp_path)).collect()}
+    texts = [(t or "").encode() for _, t in rows]
+    count = Counter(t[k:k + 400] for t in texts for k in range(len(t) - 399))
+    assert len(got) == len(rows)
+    for (i, _), t, (gone, kept, n), words in zip(rows, texts, repeats_brute(texts, 400), repeated_words_brute(texts)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), gone, n, hashlib.sha256(kept).hexdigest())
+        assert (r["n_passages"] > 0) == (words != t)
+        spans = [(k, k + 400) for k in range(len(t) - 399) if count[t[k:k + 400]] > 1]
+        gone = removed(t, spans) | removed(t, word_spans_brute(texts, t))
+        assert r["rest"] == bytes(np.frombuffer(t, "u1")[~gone]).decode("utf-8", "ignore")
+    assert len(short) < 400 and got[0]["n_passages"] == 1 and got[0]["n_removed"] == 0
+    assert got[0]["text"] == rows[0][1] and got[0]["rest"].split() == rows[0][1].split()[:40] + rows[0][1].split()[-60:]
+
+
 def test_pipeline_passages_of_short_words(spark, sf_dir):
     """A passage of 52 short words in two documents goes, though it has less than 400 bytes."""
     rows, short = passage_rows()
